@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import mixing, packing, quality, simhash
 from .common import table
 
 
@@ -19,5 +19,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(mixing.sizes_of(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op6_packing": op6_packing, "op7_mixing": op7_mixing}
 ORACLE: dict[str, str] = {}
