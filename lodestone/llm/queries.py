@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash
+from . import mixing, packing, pii, quality, simhash
 from .common import table
 
 
@@ -29,5 +29,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op6_packing": op6_packing, "op7_mixing": op7_mixing}
+def _of_kind(kind: str):
+    return lambda s: s.startswith(f"{kind}:")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op9_pii": op9_pii}
 ORACLE: dict[str, str] = {}
