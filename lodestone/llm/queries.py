@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash
+from . import media, mixing, packing, pii, quality, simhash
 from .common import table
 
 
@@ -29,6 +29,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.read_back(media.store(table(spark, sf_dir, "documents")))
+    clips = F.transform("clips", lambda c: F.format_string("%d+%d@%.2f-%.2f", c.first, c.frames, c.start_s, c.end_s))
+    return out.select(F.col("id").alias("doc_id"), *media.READ.names[1:7], F.array_join(clips, ",").alias("feature"))
+
+
 def _of_kind(kind: str):
     return lambda s: s.startswith(f"{kind}:")
 
@@ -39,5 +45,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op9_pii": op9_pii}
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op8_media": op8_media, "op9_pii": op9_pii}
 ORACLE: dict[str, str] = {}
