@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, packing, pii, quality, simhash, token_counts
+from . import chat, lm, media, mixing, packing, pii, quality, simhash, token_counts
 from .common import table
 
 
@@ -56,5 +56,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op8_media": op8_media, "op9_pii": op9_pii}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op8_media": op8_media, "op9_pii": op9_pii, "op10_lm": op10_lm}
 ORACLE: dict[str, str] = {}
