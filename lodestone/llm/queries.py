@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, media, mixing, packing, pii, quality, simhash, token_counts
+from . import chat, licenses, lm, media, mixing, packing, pii, quality, simhash, token_counts
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), narrow=["doc_id", "source"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,5 +65,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op8_media": op8_media, "op9_pii": op9_pii, "op10_lm": op10_lm}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op2_licenses": op2_licenses, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_mixing": op7_mixing, "op8_media": op8_media, "op9_pii": op9_pii, "op10_lm": op10_lm}
+ORACLE: dict[str, str] = {"op2_licenses": licenses.oracle()}
