@@ -1,4 +1,470 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries, each over its whole tables, and their SQL counterparts.
 
-QUERIES: dict = {}
+The SQL is written from the operators' definitions, by itself: ``_leaf`` and
+``_scored`` below only spell out the relational form of a leaf's score.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import html as H
+from .functions import text as X
+from .functions import urls as U
+from .functions.stemmer import stem_word
+from .operators import crawl as C
+from .operators import index as I
+from .operators import snippets as S
+from .plans import rank as R
+from .plans.query import Modes
+from .sources.fetch import table_fetcher
+from .sources.shared import shared_dir
+from .sources.store import Store, proxies, stored_pages
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql.strip()
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+PLAIN = I.Analyzer(stem=False)
+
+
+def _analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.analyze(_documents(spark, sf_dir), PLAIN)
+
+
+_TOKEN = X.TOKEN.replace("'", "''")
+_TOKENS = f"tok AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS a FROM documents)"
+_TERMS = f"""{_TOKENS},
+raw AS (SELECT doc_id, a[i] AS token, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM tok)),
+t AS (SELECT doc_id, pos, replace(replace(replace(lower(token), '_', ''), '''', ''), '-', '') AS term FROM raw)"""
+
+
+# text and index ---------------------------------------------------------------
+
+
+@query(f"WITH {_TOKENS}, r AS (SELECT unnest(a) AS token FROM tok) SELECT token, count(*) AS n FROM r GROUP BY token")
+def tokenize_counts(spark, sf_dir):
+    tokens = _documents(spark, sf_dir).select(F.explode(X.tokenize(F.col("text"))).alias("token"))
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_TERMS} SELECT term, count(*) AS n FROM t GROUP BY term")
+def normalize_terms(spark, sf_dir):
+    terms = _documents(spark, sf_dir).select(F.explode(X.tokenize(F.col("text"))).alias("token"))
+    return terms.groupBy(X.normalize(F.col("token")).alias("term")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_TERMS} SELECT term, doc_id, pos FROM t WHERE term <> ''")
+def postings(spark, sf_dir):
+    return I.postings(_analyzed(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_TERMS} SELECT term, doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions
+FROM t WHERE term <> '' GROUP BY term, doc_id"""
+)
+def postings_nested(spark, sf_dir):
+    nested = I.nested_postings(_analyzed(spark, sf_dir))
+    return nested.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, CAST(len(a) AS INTEGER) AS dl FROM tok")
+def doc_lengths(spark, sf_dir):
+    return I.doc_stats(_analyzed(spark, sf_dir))
+
+
+@query(f"WITH {_TOKENS} SELECT count(*) AS n_docs, CAST(sum(len(a)) AS BIGINT) AS sum_dl, round(sum(len(a)) / count(*), 6) AS avg_dl FROM tok")
+def corpus_stats(spark, sf_dir):
+    return I.corpus_stats(I.doc_stats(_analyzed(spark, sf_dir))).withColumn("avg_dl", F.round("avg_dl", 6))
+
+
+@query(f"WITH {_TERMS} SELECT term, doc_id, count(*) AS tf FROM t WHERE term <> '' GROUP BY term, doc_id")
+def term_frequency(spark, sf_dir):
+    return I.term_frequencies(I.postings(_analyzed(spark, sf_dir)))
+
+
+@query(f"WITH {_TERMS} SELECT term, count(DISTINCT doc_id) AS df FROM t WHERE term <> '' GROUP BY term")
+def document_frequency(spark, sf_dir):
+    return I.document_frequencies(I.postings(_analyzed(spark, sf_dir)))
+
+
+@query(f"WITH {_TOKENS}, h AS (SELECT doc_id % 2 AS half, sum(len(a)) AS s, count(*) AS n FROM tok GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_docs, round(sum(s) / sum(n), 6) AS avg_dl FROM h")
+def incremental_avg_length(spark, sf_dir):
+    """Statistics of two batches, added up."""
+    stats = I.doc_stats(_analyzed(spark, sf_dir))
+    halves = [I.corpus_stats(stats.filter(F.pmod("doc_id", F.lit(2)) == k)) for k in (0, 1)]
+    both = halves[0].unionByName(halves[1]).agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_dl").alias("s"))
+    return both.select("n_docs", F.round(F.col("s") / F.col("n_docs"), 6).alias("avg_dl"))
+
+
+_STOP = ["a", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
+
+
+@query(f"WITH {_TERMS} SELECT term, count(*) AS n FROM t WHERE term <> '' AND term NOT IN ({', '.join(repr(w) for w in _STOP)}) GROUP BY term")
+def stopword_filter(spark, sf_dir):
+    kept = I.analyze(_documents(spark, sf_dir), I.Analyzer(stem=False, stop_words=tuple(_STOP)))
+    return I.postings(kept).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_TERMS} SELECT term, count(*) AS n FROM t WHERE strlen(term) BETWEEN 3 AND 20 GROUP BY term")
+def valid_word_filter(spark, sf_dir):
+    kept = I.analyze(_documents(spark, sf_dir), I.Analyzer(stem=False, valid_only=True))
+    return I.postings(kept).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(translate(text, chr(10) || chr(13) || chr(9), ''), ' +', ' ', 'g')) AS cleaned FROM documents")
+def clean_snippet(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(X.clean_snippet(F.col("text"))).alias("cleaned"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents")
+def split_by_space(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.size(X.split_by_space(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT item_id, text AS phrase FROM benchmark")
+def unquote_phrases(spark, sf_dir):
+    quoted = _table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit('""'), "text", F.lit('""')).alias("q"))
+    return quoted.select("item_id", X.unquoted(F.col("q")).alias("phrase"))
+
+
+# ranking ----------------------------------------------------------------------
+
+_BASE = f"""{_TERMS},
+st AS (SELECT doc_id, len(a) AS dl FROM tok),
+cs AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM st)"""
+
+
+def _leaf(k: str, words: list[str], strict: bool = False, k1: float = 1.5, b: float = 0.75) -> str:
+    """CTEs for one leaf: nk(doc_id, s), its score divided by the largest, in every document."""
+    slots = ", ".join(f"({i}, '{w}')" for i, w in enumerate(words))
+    need = f"n = {len(words)}" if strict else "true"
+    return f""",
+sl{k}(slot, term) AS (VALUES {slots}),
+pr{k} AS (SELECT doc_id, slot, term, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY doc_id) AS n, min(slot) OVER (PARTITION BY doc_id) AS m
+  FROM (SELECT DISTINCT s.slot, s.term, t.doc_id FROM sl{k} s JOIN t ON t.term = s.term) WINDOW w AS (PARTITION BY doc_id ORDER BY slot)),
+sx{k} AS (SELECT p.doc_id, t.pos - p.j AS start, n, count(*) AS c FROM pr{k} p JOIN t ON t.doc_id = p.doc_id AND t.term = p.term WHERE m = 0 AND {need} GROUP BY 1, 2, 3),
+f{k} AS (SELECT doc_id, count(*) AS f FROM sx{k} WHERE c = n GROUP BY doc_id),
+d{k} AS (SELECT count(*) AS df FROM f{k}),
+s{k} AS (SELECT st.doc_id, CASE WHEN f > 0 THEN ln((n - df + 0.5) / (df + 0.5) + 1) * (f * ({k1} + 1)) / (f + {k1} * ((1 - {b}) + {b} * (dl / avgdl))) ELSE 0 END AS s
+  FROM st CROSS JOIN cs CROSS JOIN d{k} LEFT JOIN f{k} USING (doc_id)),
+n{k} AS (SELECT doc_id, CASE WHEN (SELECT max(s) FROM s{k}) > 0 THEN s / (SELECT max(s) FROM s{k}) ELSE s END AS s FROM s{k})"""
+
+
+def _norm(name: str, of: str) -> str:
+    """A CTE with the scores of another divided by the largest."""
+    return f",\n{name} AS (SELECT doc_id, CASE WHEN (SELECT max(s) FROM {of}) > 0 THEN s / (SELECT max(s) FROM {of}) ELSE s END AS s FROM {of})"
+
+
+def _alone(name: str, of: str) -> str:
+    """Combination of a single score: its normalised value and itself, weighted."""
+    return _norm(f"{name}n", of) + f",\n{name} AS (SELECT a.doc_id, 0.4 * a.s + 0.6 * b.s AS s FROM {name}n a JOIN {of} b USING (doc_id))"
+
+
+def _pair(name: str, a: str, b: str) -> str:
+    """Combination of two scores: normalised sum and minimum, weighted."""
+    return f",\n{name}t AS (SELECT x.doc_id, x.s + y.s AS s, least(x.s, y.s) AS l FROM {a} x JOIN {b} y USING (doc_id))" + _norm(f"{name}n", f"{name}t") + f",\n{name} AS (SELECT a.doc_id, 0.4 * a.s + 0.6 * b.l AS s FROM {name}n a JOIN {name}t b USING (doc_id))"
+
+
+def _expr(name: str, leaves: list[str], expression: str) -> str:
+    first, *rest = leaves
+    return f",\n{name} AS (SELECT {first}.doc_id, {expression} AS s FROM {first}{''.join(f' JOIN {r} USING (doc_id)' for r in rest)})"
+
+
+def _scored(parts: str, last: str, where: str = "true", tail: str = "") -> str:
+    return f"WITH {_BASE}{parts}\nSELECT doc_id, round(s, 6) AS score FROM {last} WHERE {where} {tail}"
+
+
+def _rank(text: str, modes: Modes = Modes(), params: R.RankerParams = R.RankerParams(), where: str = "true"):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scores = R.rank(I.ScanIndex(_documents(spark, sf_dir), PLAIN), text, params, modes)
+        return scores.filter(where).select("doc_id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def ranked(name: str, text: str, sql: str, **how) -> None:
+    QUERIES[name] = _rank(text, **how)
+    ORACLE[name] = sql
+
+
+ranked("bm25_term", "the", _scored(_leaf("0", ["the"]) + _alone("r", "n0"), "r"))
+ranked("bm25_phrase_compatible", '"the and of"', _scored(_leaf("0", ["the", "and", "of"]) + _alone("r", "n0"), "r"))
+ranked("bm25_phrase_strict", '"of the"', _scored(_leaf("0", ["of", "the"], strict=True) + _alone("r", "n0"), "r"), modes=Modes(phrase="intended"))
+ranked("bool_and", '"the" and "is of"', _scored(_leaf("0", ["the"]) + _leaf("1", ["is", "of"]) + _expr("e", ["n0", "n1"], "least(n0.s, n1.s)") + _alone("r", "e"), "r"))
+ranked("bool_or", '"the" or "de la"', _scored(_leaf("0", ["the"]) + _leaf("1", ["de", "la"]) + _expr("e", ["n0", "n1"], "greatest(n0.s, n1.s)") + _alone("r", "e"), "r"))
+ranked("bool_not", 'not "the"', _scored(_leaf("0", ["the"]) + _expr("e", ["n0"], "1 - n0.s") + _alone("r", "e"), "r"))
+ranked("bool_and_not", '"the of" and not "with"', _scored(_leaf("0", ["the", "of"]) + _leaf("1", ["with"]) + _expr("e", ["n0", "n1"], "least(n0.s, 1 - n1.s)") + _alone("r", "e"), "r"))
+ranked(
+    "bool_nested",
+    '("the and" or "of the") not "with"',
+    _scored(_leaf("0", ["the", "and"]) + _leaf("1", ["of", "the"]) + _leaf("2", ["with"]) + _expr("e", ["n0", "n1"], "greatest(n0.s, n1.s)") + _expr("g", ["n2"], "1 - n2.s") + _pair("r", "e", "g"), "r"),
+)
+ranked("bool_terms", "the & (of | is)".replace("&", "and").replace("|", "or"), _scored(_leaf("0", ["the"]) + _leaf("1", ["of"]) + _leaf("2", ["is"]) + _expr("e", ["n0", "n1", "n2"], "least(n0.s, greatest(n1.s, n2.s))") + _alone("r", "e"), "r"), modes=Modes.intended())
+ranked("combine_terms", "the is", _scored(_leaf("0", ["the"]) + _leaf("1", ["is"]) + _pair("r", "n0", "n1"), "r"))
+_MIXED = _leaf("0", ["the"]) + _leaf("1", ["is", "of"]) + _alone("a", "n0") + _alone("b", "n1") + _expr("c", ["b"], "1.35 * b.s") + _pair("m", "a", "c") + _norm("r", "m")
+ranked("mixed_term_phrase_boost", 'the "is of"', _scored(_MIXED, "r"))
+ranked("accuracy_filter", 'the "is of"', _scored(_MIXED, "r", "s >= 0.5"), where="score >= 0.5")
+ranked("ranker_params_variant", "the", _scored(_leaf("0", ["the"], k1=1.2, b=0.5) + _norm("x", "n0") + _expr("r", ["x"], "x.s"), "r"), params=R.RankerParams(k1=1.2, b=0.5, exact_match_weight=0.3))
+ranked("term_lookup_is_raw", "The", _scored(_leaf("0", ["The"]) + _alone("r", "n0"), "r"))
+ranked("term_lookup_analysed", "The", _scored(_leaf("0", ["the"]) + _alone("r", "n0"), "r"), modes=Modes.intended())
+
+
+@query(_scored(_MIXED, "r", "s >= 0.1", "ORDER BY round(s, 9) DESC, doc_id LIMIT 100"))
+def ranked_topk(spark, sf_dir):
+    scores = R.rank(I.ScanIndex(_documents(spark, sf_dir), PLAIN), 'the "is of"')
+    best = R.top(R.accurate(scores.withColumn("score", F.round("score", 9)), 0.1), 100)
+    return best.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_scored(_MIXED, "r", "s >= 0.1", "ORDER BY doc_id LIMIT 100"))
+def natural_order_100(spark, sf_dir):
+    scores = R.rank(I.ScanIndex(_documents(spark, sf_dir), PLAIN), 'the "is of"')
+    return R.top(R.accurate(scores, 0.1), 100, "compatible").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_BASE}{_leaf("0", ["the"])}{_alone("r", "n0")}
+SELECT r.doc_id, d.lang, d.source, round(r.s, 6) AS score, l.quality FROM r JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id) WHERE s >= 0.5""")
+def result_join(spark, sf_dir):
+    best = R.accurate(R.rank(I.ScanIndex(_documents(spark, sf_dir), PLAIN), "the"), 0.5)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return best.join(docs, "doc_id").join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "lang", "source", F.round("score", 6).alias("score"), "quality")
+
+
+@query(f"WITH {_TERMS} SELECT doc_id, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions FROM t WHERE term IN ('the', 'of') GROUP BY doc_id")
+def hit_positions(spark, sf_dir):
+    hits = I.ScanIndex(_documents(spark, sf_dir), PLAIN).positions(["the", "of"])
+    both = hits.select("doc_id", F.array_sort(F.concat("p0", "p1")).alias("p")).filter("size(p) > 0")
+    return both.select("doc_id", F.array_join(F.col("p").cast("array<string>"), " ").alias("positions"))
+
+
+@query()
+def stem_vocabulary(spark, sf_dir):
+    words = _documents(spark, sf_dir).select(F.explode(X.tokenize(F.col("text"))).alias("token"))
+    vocabulary = words.select(X.normalize_token(F.col("token")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return vocabulary.select("word", stem_word(F.col("word")).alias("stem"), "n")
+
+
+@query()
+def bm25_stemmed(spark, sf_dir):
+    scores = R.rank(I.ScanIndex(_documents(spark, sf_dir), I.Analyzer(stem=True)), '"blending things"')
+    return scores.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def snippets(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return S.search(I.ScanIndex(docs, PLAIN), docs, '"of the" not "with"', 0.3).withColumn("score", F.round("score", 6))
+
+
+@query()
+def snippets_intended(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return S.search(I.ScanIndex(docs, PLAIN), docs, 'the and "of the"', 0.3, modes=Modes.intended()).withColumn("score", F.round("score", 6))
+
+
+def _spread(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(_scored(_MIXED, "r"))
+def stored_index_search(spark, sf_dir):
+    """The same ranking from a written index of two batches, the second written twice."""
+    docs = _documents(spark, sf_dir)
+    index = I.StoredIndex(spark, _spread(spark, "index"), PLAIN, 16)
+    halves = [docs.filter(F.pmod("doc_id", F.lit(2)) == k) for k in (0, 1)]
+    for batch, half in ((0, halves[0]), (1, halves[1]), (1, halves[1])):
+        index.add(half, batch)
+    return R.rank(index, 'the "is of"').select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_TERMS} SELECT term, doc_id, count(*) AS tf FROM t WHERE term <> '' GROUP BY term, doc_id")
+def stored_postings(spark, sf_dir):
+    index = I.StoredIndex(spark, _spread(spark, "index"), PLAIN, 16)
+    index.add(_documents(spark, sf_dir), 0)
+    return index.postings().select("term", "doc_id", F.size("positions").cast("long").alias("tf"))
+
+
+@query(f"WITH {_TOKENS} SELECT doc_id, CAST(len(a) AS INTEGER) AS dl FROM tok")
+def stream_index(spark, sf_dir):
+    """Document lengths of an index built by a stream over the table's files."""
+    from .streaming.incremental import index_stream
+
+    source = _spread(spark, "stream-source")
+    _documents(spark, sf_dir).write.parquet(source)
+    index = I.StoredIndex(spark, _spread(spark, "index"), PLAIN, 16)
+    index_stream(spark, source, index, _spread(spark, "stream-state"), title=None, content="text").awaitTermination()
+    return index.doc_stats().select("doc_id", "dl")
+
+
+# pages ------------------------------------------------------------------------
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages")
+
+
+#: Top-level domains for the queries below and their SQL, a parameter of the operators.
+TLDS = ["COM", "ORG", "NET", "EDU", "GOV", "INFO", "BIZ", "IO", "DE", "FR", "ES", "EN", "UK", "EU", "IT", "NL", "US", "AI", "ST", "TI", "ET", "RE", "AN"]
+_IN_TLDS = f"IN ({', '.join(repr(t) for t in TLDS)})"
+
+
+def _sql_tld(c: str) -> str:
+    return f"(contains({c}, '.') AND upper(split_part(split_part({c}, '.', -1), '/', 1)) {_IN_TLDS})"
+
+
+def _sql_normal(c: str) -> str:
+    return f"split_part(regexp_replace({c}, '[*$/?]+$', ''), '/*', 1)"
+
+
+def _sql_absolute(c: str) -> str:
+    return f"(regexp_matches({c}, '^(https?://)([a-zA-Z0-9-]+\\.)+[a-zA-Z0-9-]+') AND {_sql_tld(c)})"
+
+
+@query(f"SELECT page_id, {_sql_normal('url')} AS url FROM pages")
+def normalize_url(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", U.normalize_url(F.col("url")).alias("url"))
+
+
+@query(f"SELECT page_id, {_sql_absolute('url')} AS ok FROM pages")
+def is_absolute_url(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", U.is_absolute(F.col("url"), TLDS).alias("ok"))
+
+
+@query(f"SELECT page_id, regexp_matches(u, '^(https?://)?([a-zA-Z0-9-]+\\.)+[a-zA-Z]{{2,}}/?$') AND {_sql_tld('u')} AS ok FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') AS u FROM pages)")
+def is_domain_url(spark, sf_dir):
+    hosts = _pages(spark, sf_dir).select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]+", 0).alias("u"))
+    return hosts.select("page_id", U.is_domain(F.col("u"), TLDS).alias("ok"))
+
+
+@query("SELECT page_id, regexp_matches(url, '(https?://)?([a-zA-Z0-9.-]+)(/[^\\s]*)?') AS ok FROM pages")
+def is_url(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", U.is_url(F.col("url")).alias("ok"))
+
+
+@query(f"SELECT page_id, {_sql_tld('url')} AS ok FROM pages")
+def tld_valid(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", U.is_valid_tld(F.col("url"), TLDS).alias("ok"))
+
+
+@query("SELECT page_id, starts_with(url, '//') AS protocol_relative, starts_with(url, '/') AS root_relative, url IN ('', '/') OR starts_with(url, '#') AS ignored FROM (SELECT page_id, regexp_replace(url, '^https?:', '') AS url FROM pages)")
+def classify_url(spark, sf_dir):
+    u = F.regexp_replace("url", "^https?:", "")
+    return _pages(spark, sf_dir).select("page_id", U.is_protocol_relative(u).alias("protocol_relative"), U.is_root_relative(u).alias("root_relative"), U.is_ignored(u).alias("ignored"))
+
+
+@query("SELECT page_id, CASE WHEN url LIKE '%/' THEN url || 'robots.txt' ELSE url || '/robots.txt' END AS url FROM pages")
+def robots_url(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", U.robots_url(F.col("url")).alias("url"))
+
+
+_LINKS = f"""l AS (SELECT url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS h FROM pages),
+r AS (SELECT url, h, CASE WHEN h IN ('', '/') OR starts_with(h, '#') THEN url WHEN {_sql_absolute('h')} THEN h
+  WHEN starts_with(h, '//') THEN regexp_extract(url, '^(https?:)', 1) || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-zA-Z]+://[^/]+)', 1) || h
+  ELSE regexp_extract(url, '^(.*/)', 1) || h END AS u FROM l),
+n AS (SELECT url, h, {_sql_normal('u')} AS target FROM r)"""
+
+
+@query(f"WITH {_LINKS} SELECT url, h AS link, target, count(*) AS n FROM n WHERE {_sql_absolute('target')} GROUP BY ALL")
+def resolve_links(spark, sf_dir):
+    links = C.links_of(H.page_documents(_pages(spark, sf_dir)), TLDS)
+    return links.groupBy("url", "link", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_LINKS} SELECT DISTINCT target FROM n WHERE {_sql_absolute('target')} AND target NOT IN (SELECT url FROM pages)")
+def visited_anti_join(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    links = C.links_of(H.page_documents(pages), TLDS).select("target").distinct()
+    return links.join(pages.select(F.col("url").alias("target")), "target", "left_anti")
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS title FROM pages""")
+def page_title(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return H.page_documents(pages).join(pages.select("page_id", "url"), "url").select("page_id", "title")
+
+
+@query("SELECT page_id, regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1) AS language FROM pages")
+def html_lang(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return H.page_documents(pages).join(pages.select("page_id", "url"), "url").select("page_id", "language")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS n_links FROM pages")
+def link_counts(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return H.page_documents(pages).join(pages.select("page_id", "url"), "url").select("page_id", F.size("links").cast("long").alias("n_links"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return H.page_documents(_pages(spark, sf_dir)).select("url", "content")
+
+
+@query()
+def page_document(spark, sf_dir):
+    return H.page_documents(_pages(spark, sf_dir)).drop("links")
+
+
+@query()
+def crawl_bfs(spark, sf_dir):
+    """Pages reached from every page of the table, crawled without the network."""
+    pages = _pages(spark, sf_dir)
+    store = Store(spark, _spread(spark, "crawl"))
+    crawler = C.Crawler(spark, store, table_fetcher(pages), TLDS, max_pages=pages.count(), robots_mode="compatible")
+    crawler.run(pages.select("url"))
+    return store.read("pages").select("url", "title")
+
+
+@query("SELECT count(*) AS n_pages, count(DISTINCT url) AS n_urls FROM pages")
+def store_roundtrip(spark, sf_dir):
+    """Insert, upsert and count through the store."""
+    pages = _pages(spark, sf_dir)
+    store = Store(spark, _spread(spark, "store"))
+    rows = stored_pages(H.page_documents(pages))
+    store.insert("pages", rows)
+    store.upsert("pages", rows.filter(F.pmod("doc_id", F.lit(2)) == 0), "doc_id")
+    return store.read("pages").agg(F.count(F.lit(1)).alias("n_pages"), F.countDistinct("url").alias("n_urls"))
+
+
+@query("SELECT page_id, url FROM pages")
+def seeds_json(spark, sf_dir):
+    """URLs out of one JSON list per page."""
+    lists = _pages(spark, sf_dir).select("page_id", F.concat(F.lit('["'), "url", F.lit('"]')).alias("t"))
+    return lists.select("page_id", F.explode(X.quoted_strings(F.col("t"))).alias("url"))
+
+
+@query("SELECT DISTINCT 'http://' || p AS proxy FROM (SELECT unnest(string_split_regex(string_agg(url, ' '), '\\s+')) AS p FROM pages) WHERE p <> ''")
+def proxy_list(spark, sf_dir):
+    return proxies(_pages(spark, sf_dir), "url").distinct()
+
+
+@query("""SELECT page_id, string_agg(p, ',' ORDER BY i) AS paths FROM (SELECT page_id, unnest(['/private', '/x/' || page_id]) AS p, unnest([1, 2]) AS i FROM pages) GROUP BY page_id""")
+def robots_disallow(spark, sf_dir):
+    text = F.concat(F.lit("User-agent: a\nDisallow: /a\nUser-agent: *\nDisallow: /private\nDisallow: /x/"), F.col("page_id").cast("string"), F.lit("\n\nUser-agent: b\nDisallow: /b\n"))
+    return _pages(spark, sf_dir).select("page_id", F.array_join(H.robots_disallowed(text), ",").alias("paths"))
