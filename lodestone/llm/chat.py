@@ -149,3 +149,23 @@ def _read(batches: Iterator[pa.RecordBatch], paths: tuple) -> Iterator[pa.Record
 def digests(formatted: DataFrame, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
     """What formatted conversations hold, read back from tokens and masks; the turns must come as they were formatted."""
     return formatted.mapInArrow(lambda it: _read(it, (tokenizer, ranks)), DIGESTS)
+
+
+def oracle(table: str) -> str:
+    """The digests of a table of turns as SQL for DuckDB."""
+
+    def quoted(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    def added(c: str) -> str:
+        strings = " + ".join(f"(length({c}) - length(replace({c}, {quoted(s)}, ''))) // {len(s)}" for s in CONTROL)
+        return f"(length({c}) - length(replace({c}, chr(92), '')) + {strings})"
+
+    marks = len(TURN) + len(TEXT) + len(END)
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM {table})
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, '' ORDER BY turn, r, t)) AS loss_sha256,
+  CAST(sum({marks} + length(r) + length(t) + {added('r')} + {added('t')}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_dir
+
+__all__ = ["BLANKS", "WORD", "count_blanks", "cut", "packed", "shared_dir", "shuffle_partitions", "table", "unpacked", "utf8", "words"]
+
 #: A word is a maximal run without space and ``\t \n \v \f \r``, which is what
 #: ``bytes.split()`` cuts at.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
-_local: list[str] = []
 
 
 def utf8(text: str | None) -> bytes:
@@ -33,36 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it.
-
-    Where ``spark.checkpoint.dir`` is unset, as in local tests, one temporary
-    folder of the driver serves, since driver and executors are one machine.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="lodestone-"))
-        atexit.register(shutil.rmtree, _local[0], True)
-    return "file://" + _local[0]
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Later steps then neither recompute it nor depend on the executors that
-    made it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def nonnull_text(df: DataFrame, column: str = "text") -> DataFrame:
-    return df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("")))
+def packed(df: DataFrame, **named: Column) -> DataFrame:
+    """Every row as one column ``row`` beside computed ones, so that no name of ``df`` can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in named.items()])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")

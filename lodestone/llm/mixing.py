@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, cut, shuffle_partitions
+from .common import WORD, cut, packed, shuffle_partitions, unpacked
 
 
 def n_words(text: str = "text") -> Column:
@@ -117,11 +117,11 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source",
     most = how.get("most", 2)
     decided = mix(sizes_of(df, key, source, text), **how)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    alike = decided.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-    at_least = alike.agg(*[F.sum((times >= k).cast("long")).alias(f"__{k}") for k in range(1, most + 1)])
-    same = F.col(f"`{key}`").eqNullSafe(F.col("__id")) & F.col(f"`{source}`").eqNullSafe(F.col("__source")) & (n_words(text) == F.col("__size"))
-    joined = df.join(at_least, same)
-    nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.lit(1)))
-    copies = joined.withColumn("__n", nth)
-    copies = copies.withColumn("__times", sum((F.when(F.col("__n") <= F.col(f"__{k}"), 1).otherwise(0) for k in range(1, most + 1)), F.lit(0)))
-    return copies.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[f"`{c}`" for c in df.columns])
+    alike = decided.withColumn("times", times).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("n"))
+    at_least = alike.agg(*[F.sum((F.col("times") >= k).cast("long")).alias(f"least{k}") for k in range(1, most + 1)])
+    rows = packed(df, key=F.col(f"`{key}`").cast("long"), source=F.col(f"`{source}`").cast("string"), size=n_words(text))
+    same = F.col("key").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("n"))
+    nth = F.row_number().over(Window.partitionBy("id", "of", "n").orderBy(F.lit(1)))
+    joined = rows.join(at_least, same).withColumn("nth", nth)
+    copies = joined.withColumn("copies", sum((F.when(F.col("nth") <= F.col(f"least{k}"), 1).otherwise(0) for k in range(1, most + 1)), F.lit(0)))
+    return unpacked(copies.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, count_blanks, cut, utf8
+from .common import BLANKS, WORD, count_blanks, cut, packed, unpacked, utf8
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = "#*$%&|<>"
@@ -161,19 +161,46 @@ def verdicts(measured: DataFrame, rates: DataFrame, host: str, rules: QualityRul
     return out.withColumn("kept", keep).drop("__poor")
 
 
-def judge(df: DataFrame, host: str = "source", text: str = "text", rules: QualityRules = QualityRules(), narrow: list[str] | None = None) -> DataFrame:
-    """Measures and verdicts of every document, without its text unless ``narrow`` names it."""
-    names = narrow or [c for c in df.columns if c != text]
-    if text in names:
-        measured = with_measures(df, text)
-        slim = with_measures(df.select(f"`{host}`", f"`{text}`"), text).drop(text)
-        return verdicts(measured, host_rates(slim, host, rules), host, rules)
-    wanted = list(dict.fromkeys([*names, host, text]))
-    measured = cut(with_measures(df.select(*[f"`{c}`" for c in wanted]), text).drop(text), "measures")
+def judge(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
+    """Measures and verdicts of every document: its ``key`` and ``host``, no text."""
+    slim = df.select(f"`{key}`", f"`{host}`", f"`{text}`")
+    measured = cut(with_measures(slim, text).drop(text), "measures")
     return verdicts(measured, host_rates(measured, host, rules), host, rules)
 
 
 def filter_documents(df: DataFrame, host: str = "source", text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
-    """The kept documents with their columns."""
-    out = judge(df, host, text, rules, narrow=df.columns)
-    return out.filter("kept").select(*[f"`{c}`" for c in df.columns])
+    """The kept documents with their columns.
+
+    Texts are read twice, for the hosts and for the verdicts, and never shuffled.
+    """
+    rows = packed(df, host=F.col(f"`{host}`"), text=F.col(f"`{text}`"))
+    rates = host_rates(with_measures(rows.select("host", "text")), "host", rules)
+    return unpacked(verdicts(with_measures(rows), rates, "host", rules).filter("kept"))
+
+
+def oracle(rules: QualityRules = QualityRules()) -> str:
+    """The verdicts on ``documents`` as SQL for DuckDB."""
+    r = rules
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, t, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
+g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+o AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g) WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM o, (VALUES (0), (1), (2)) s(k) GROUP BY doc_id),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines
+  FROM w LEFT JOIN p USING (doc_id)),
+f AS (SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed,
+  CAST(100 * n_symbols > {r.symbols_per_hundred_words} * n_words AS INTEGER)
+  + CAST(word_chars < {r.min_mean_word_chars} * n_words OR word_chars > {r.max_mean_word_chars} * n_words AS INTEGER)
+  + CAST(100 * n_dup_lines > {r.max_dup_line_percent} * n_lines AS INTEGER) AS soft FROM m),
+h AS (SELECT source, count(*) AS docs, sum(CAST(base_failed OR soft > 0 AS INTEGER)) AS fails FROM f GROUP BY source),
+s AS (SELECT count(*) AS hosts, sum(docs) AS docs, sum(fails) AS fails, sum(fails * fails / docs) AS weighted FROM h),
+q AS (SELECT *, least(greatest(fails / docs, 1e-6), 1 - 1e-6) AS mean, greatest(docs / greatest(hosts, 1), 1.0) AS most FROM s),
+b AS (SELECT *, greatest(weighted / docs - (fails / docs) ** 2 - mean * (1 - mean) * hosts / docs, 0) AS between_hosts FROM q),
+e AS (SELECT mean, greatest(CASE WHEN between_hosts > 0 THEN least(mean * (1 - mean) / between_hosts - 1, most) ELSE most END, 1.0) AS strength FROM b),
+v AS (SELECT source, (fails + mean * strength) / (docs + mean * strength + (1 - mean) * strength) > {r.host_rate} AS poor FROM h, e)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND soft < CASE WHEN poor THEN 1 ELSE {r.soft_failures} END AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""

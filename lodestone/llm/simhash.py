@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, utf8
+from .common import cut, packed, unpacked, utf8
 
 SEED = 42
 WIDTH = 64
@@ -194,7 +194,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     Rows without an id can't be named by a class and all stay.
     """
     classes = near_duplicate_classes(df, key, text, size, radius)
-    keep = classes.filter("id = component_id").select(F.col("id").alias("__id")).distinct()
-    named = df.join(keep, F.col(f"`{key}`") == F.col("__id")).drop("__id")
-    first = named.withColumn("__n", F.row_number().over(Window.partitionBy(f"`{key}`").orderBy(F.lit(1)))).filter("__n = 1").drop("__n")
-    return first.unionByName(df.filter(F.col(f"`{key}`").isNull()))
+    keep = classes.filter("id = component_id").select("id").distinct()
+    rows = packed(df, key=F.col(f"`{key}`").cast("long"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
+    first = rows.join(keep, F.col("key") == F.col("id")).withColumn("nth", nth).filter("nth = 1")
+    return unpacked(first.select("row")).unionByName(df.filter(F.col(f"`{key}`").isNull()))
