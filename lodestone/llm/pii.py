@@ -228,7 +228,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels, shapes, keys = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("labels", "shapes", "keys"))
         for y, x, k in zip(labels, shapes, keys):
-            total.update(("node", a, b) for a, b in zip(x, y))
+            marked = {key for key, label in zip(k, y) if label}
+            total.update(("node", a, b) for a, b, key in zip(x, y, k) if b or key not in marked)
             chain, ties = edges(k)
             total.update(("chain", y[i], y[j]) for i, j in chain)
             total.update(("tie", y[i], y[j]) for i, j in ties)
@@ -257,8 +258,13 @@ def fit_softmax(codes: list[int], labels: list[int], counts: list[int], steps: i
     return w
 
 
-def learn(found: DataFrame) -> Field:
-    """Weights from stored nodes of all documents."""
+def learn(found: DataFrame, agreeing: int = 400) -> Field:
+    """Weights from stored nodes of all documents.
+
+    Nodes that no pattern matches count as none, except where a base span of
+    the same document has their form: those are what is to be found out.
+    ``agreeing`` ties of equal labels are taken as seen beforehand.
+    """
     rows = found.filter("size(starts) > 0").mapInArrow(_count, _COUNTS).groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
     node = [r for r in rows if r.what == "node"]
     weights = fit_softmax([r.a for r in node], [r.b for r in node], [r.n for r in node])
@@ -269,9 +275,9 @@ def learn(found: DataFrame) -> Field:
             chain[r.a, r.b] += r.n
     joint = chain / chain.sum()
     lift = np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
-    alike = sum(r.n for r in rows if r.what == "tie" and r.a == r.b) + 1
+    alike = sum(r.n for r in rows if r.what == "tie" and r.a == r.b and r.a) + agreeing
     unlike = sum(r.n for r in rows if r.what == "tie" and r.a != r.b and r.a and r.b) + 1
-    tie = np.eye(size) * min(max(np.log((size - 1) * alike / unlike), 2.0), 12.0)
+    tie = np.eye(size) * min(max(np.log((size - 1) * alike / unlike), 0.0), 12.0)
     return Field(weights, np.clip(lift, -1, 1), tie)
 
 

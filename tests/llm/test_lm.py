@@ -1,0 +1,98 @@
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lodestone.llm import lm as L
+from lodestone.llm.queries import op10_lm
+from tests.conftest import SMALL
+
+
+def tokens(text):
+    return [*(text or "").encode().lower().split(), None]
+
+
+def rest(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 7
+
+
+def brute(docs):
+    """All scores from plain counters; docs: [(id, text)]."""
+    main, fold = (Counter(), Counter()), (Counter(), Counter())
+    for i, t in docs:
+        if rest(i) != 2:
+            own = tokens(t)
+            for into in ([main] if rest(i) != 3 else [fold]):
+                into[0].update(own)
+                into[1].update(zip([None, *own], own))
+    n_main, v_main = sum(main[0].values()), len(main[0])
+    cells = Counter()
+    q = lambda p: int(np.rint(L.STEPS * math.log2(p))) if p else L.NEVER
+    for i, t in docs:
+        if rest(i) == 3:
+            own = tokens(t)
+            for u, w in zip([None, *own], own):
+                c = main[0][u]
+                cells[min(c.bit_length(), L.BUCKETS - 1), q(main[1][u, w] / c if c else 0), q(main[0][w] / n_main if n_main else 0)] += 1
+    weights = L.expectation_maximisation(np.array([(*k, n) for k, n in cells.items()], np.int64).reshape(-1, 4), v_main)
+    c1, c2 = main[0] + fold[0], main[1] + fold[1]
+    n, v = sum(c1.values()), len(c1)
+    out = []
+    for i, t in docs:
+        own = tokens(t)
+        base = sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in own)
+        score = 0.0
+        for u, w in zip([None, *own], own):
+            a, b, c = weights[min(c1[u].bit_length(), L.BUCKETS - 1)]
+            score += math.log10(a * (c2[u, w] / max(c1[u], 1)) + b * (c1[w] / max(n, 1)) + c / (v + 1))
+        out.append((i, rest(i) == 2, len(own), sum(c1[w] > 0 for w in own), n, base, score))
+    return out
+
+
+def close(got, expected):
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[6])
+    got, expected = sorted(map(tuple, got), key=key), sorted(expected, key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in expected]
+    for k in (5, 6):
+        assert [r[k] for r in got] == pytest.approx([r[k] for r in expected], rel=1e-9)
+
+
+def test_query_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    close(op10_lm(spark, SMALL).collect(), brute(docs))
+
+
+@pytest.mark.parametrize("chunk_bytes", [200, 5000])
+def test_chunks_make_no_difference(spark, chunk_bytes):
+    docs = [(k, " ".join(f"w{(k * j) % 17}" for j in range(k % 23))) for k in range(150)]
+    close(L.score(spark.createDataFrame(docs, "doc_id long, text string"), chunk_bytes=chunk_bytes).collect(), brute(docs))
+
+
+def test_held_out_text_is_scored_better_than_by_the_base(spark):
+    docs = [(k, "the cat sat on the mat and the dog sat on the log " * 3) for k in range(300)]
+    rows = [r for r in L.score(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.held_out]
+    assert rows and all(r.score > r.base_score for r in rows)
+
+
+def test_odd_rows(spark):
+    docs = [(1, None), (None, "a b"), (2, ""), (3, "A a B"), (3, "A a B"), (4, "x y " * 40_000), (5, "é É")]
+    df = spark.createDataFrame([(*d, "p", 1) for d in docs], "doc_id long, text string, part string, chunk int")
+    close(L.score(df).collect(), brute(docs))
+    assert L.score(df.limit(0)).count() == 0
+    only = [(k, "a") for k in range(200) if rest(k) == 2]
+    close(L.score(spark.createDataFrame(only, "doc_id long, text string")).collect(), brute(only))
+
+
+def test_weights_follow_the_evidence():
+    sure = np.array([[5, 0, -40, 1000]])  # pairs always right
+    assert L.expectation_maximisation(sure, 100)[5][0] > 0.99
+    never = np.array([[5, L.NEVER, 0, 1000]])
+    assert L.expectation_maximisation(never, 100)[5][1] > 0.98
+
+
+def test_planes():
+    for kind in ("<u8", "<u4"):
+        x = np.array([0, 1, 255, 256, 2**31], kind)
+        assert (L.unplaned(L.planes(x), kind) == x).all()
