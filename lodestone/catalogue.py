@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import html as H
 from .functions import text as X
@@ -468,3 +470,141 @@ def proxy_list(spark, sf_dir):
 def robots_disallow(spark, sf_dir):
     text = F.concat(F.lit("User-agent: a\nDisallow: /a\nUser-agent: *\nDisallow: /private\nDisallow: /x/"), F.col("page_id").cast("string"), F.lit("\n\nUser-agent: b\nDisallow: /b\n"))
     return _pages(spark, sf_dir).select("page_id", F.array_join(H.robots_disallowed(text), ",").alias("paths"))
+
+
+# single operators of the store, pages and links ---------------------------------
+
+
+def _page_store(spark: SparkSession, sf_dir: str) -> Store:
+    store = Store(spark, _spread(spark, "store"))
+    store.insert("pages", stored_pages(H.page_documents(_pages(spark, sf_dir))))
+    return store
+
+
+def _one_row(spark: SparkSession, **values: int) -> DataFrame:
+    return spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in values.items()])
+
+
+@query("SELECT count(*) AS everything, least(count(*), 7) AS limited, count(*) FILTER (contains(url, '/blog/')) AS filtered, 0 AS cleared FROM pages".replace("0 AS cleared", "CAST(0 AS BIGINT) AS cleared"))
+def store_counts(spark, sf_dir):
+    """Filtered and limited scans (a limit of 0 is none), and a cleared table."""
+    store = _page_store(spark, sf_dir)
+    counts = {"everything": store.limited("pages", 0).count(), "limited": store.limited("pages", 7).count(), "filtered": store.count("pages", F.col("url").contains("/blog/"))}
+    store.clear("pages")
+    return _one_row(spark, **counts, cleared=store.count("pages"))
+
+
+@query("SELECT url FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)")
+def store_first(spark, sf_dir):
+    store = _page_store(spark, sf_dir)
+    url = _pages(spark, sf_dir).orderBy("page_id").first().url
+    row = store.first("pages", F.col("url") == url)
+    return spark.createDataFrame([(row.url,)], "url string")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels ORDER BY doc_id LIMIT 60)")
+def lookup_by_ids(spark, sf_dir):
+    """Rows of a bounded list of ids."""
+    schema = _table(spark, sf_dir, "documents").select("doc_id", "lang").schema
+    store = Store(spark, sf_dir, {"documents.parquet": schema})
+    ids = [r.doc_id for r in _table(spark, sf_dir, "labels").select("doc_id").orderBy("doc_id").limit(60).collect()]
+    return store.by_ids("documents.parquet", ids)
+
+
+@query("SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM pages")
+def mark_processed(spark, sf_dir):
+    """Unprocessed pages before and after marking all of them."""
+    store = _page_store(spark, sf_dir)
+    before = store.unprocessed().count()
+    store.mark_processed(store.read("pages"))
+    return _one_row(spark, before=before, after=store.unprocessed().count())
+
+
+@query("SELECT DISTINCT url FROM pages")
+def visited_set(spark, sf_dir):
+    """Saved twice, each URL is there once."""
+    store = Store(spark, _spread(spark, "store"))
+    for _ in range(2):
+        store.save_visited(_pages(spark, sf_dir).select("url"))
+    return store.read("visited").select("url")
+
+
+@query("SELECT url FROM pages")
+def seed_lines(spark, sf_dir):
+    from .sources.store import seed_file
+
+    path = _spread(spark, "seeds")
+    urls = _pages(spark, sf_dir).select("url")
+    urls.unionByName(spark.createDataFrame([("",)], "url string")).write.text(path)
+    return seed_file(spark, path)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(lang || ' ' || source || ' ' || text || ' ') AS content FROM documents")
+def concat_text_fields(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("id"), F.md5(X.all_text(F.col("lang"), F.col("source"), F.col("text"))).alias("content"))
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(lang || text, '{_TOKEN}')) AS INTEGER) AS dl FROM documents")
+def titled_document_lengths(spark, sf_dir):
+    """Title and content are put together without anything between."""
+    docs = _table(spark, sf_dir, "documents")
+    return I.doc_stats(I.analyze(docs, PLAIN, title="lang"))
+
+
+@query("SELECT doc_id, lang AS language, source AS author, CAST(n_chars AS VARCHAR) AS tags, 'i.png' AS image_links, lang || ' & ' || source AS title FROM documents")
+def meta_fields(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    markup = F.format_string('<html lang="%s"><head><title>%s &amp; %s</title><meta name="author" content="%s"><meta name="tags" content="%d"></head><img src="i.png"><img src="j.png">', "lang", "lang", "source", "source", "n_chars")
+    pages = docs.select(F.col("doc_id").cast("string").alias("url"), markup.alias("html"))
+    return H.page_documents(pages).select(F.col("url").cast("long").alias("doc_id"), "language", "author", "tags", "image_links", "title")
+
+
+_FORMS = ("", "/", "#top", "//cdn.example.com/x", "/a/b?", "c/d*", "https://other.org/z/*/q")
+
+
+@query(
+    f"""WITH f AS (SELECT url, unnest([{', '.join(repr(x) for x in _FORMS)}]) AS h FROM pages),
+r AS (SELECT url, h, CASE WHEN h IN ('', '/') OR starts_with(h, '#') THEN url WHEN {_sql_absolute('h')} THEN h
+  WHEN starts_with(h, '//') THEN regexp_extract(url, '^(https?:)', 1) || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-zA-Z]+://[^/]+)', 1) || h
+  ELSE regexp_extract(url, '^(.*/)', 1) || h END AS u FROM f)
+SELECT url, h AS form, {_sql_normal('u')} AS target FROM r"""
+)
+def absolute_url_forms(spark, sf_dir):
+    """Every form a link can have, on every page."""
+    forms = _pages(spark, sf_dir).select("url", F.explode(F.array(*[F.lit(x) for x in _FORMS])).alias("form"))
+    return forms.select("url", "form", U.to_absolute(F.col("form"), F.col("url"), TLDS).alias("target"))
+
+
+@query(
+    f"""WITH {_LINKS}, k AS (SELECT url, target, row_number() OVER (PARTITION BY target ORDER BY url, h) AS n FROM n WHERE {_sql_absolute('target')})
+SELECT target, min(url) AS first_page FROM k GROUP BY target"""
+)
+def frontier_dedupe(spark, sf_dir):
+    """Each link target once, with the first page that has it."""
+    links = C.first_occurrence(C.links_of(H.page_documents(_pages(spark, sf_dir)), TLDS))
+    return links.select("target", F.col("url").alias("first_page"))
+
+
+@query("SELECT item_id, 'phrase' AS kind, text FROM benchmark UNION ALL SELECT item_id, 'operator', 'or' FROM benchmark UNION ALL SELECT item_id, 'term', 'der' FROM benchmark")
+def lex_queries(spark, sf_dir):
+    """A query made of every benchmark item, lexed: ``order "text"``."""
+    from .plans.query import lex
+
+    def tokens(frames):
+        for f in frames:
+            yield pd.DataFrame([(i, t.kind, t.text) for i, q in zip(f.item_id, f.q) for t in lex(q)], columns=["item_id", "kind", "text"])
+
+    queries = _table(spark, sf_dir, "benchmark").select("item_id", F.format_string('order "%s"', "text").alias("q"))
+    return queries.mapInPandas(tokens, T.StructType([T.StructField("item_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())]))
+
+
+@query(f"""WITH {_BASE}{_leaf("0", ["the"])}{_leaf("1", ["is"])}
+SELECT a.doc_id, round(0.7 * a.s + 0.3 * b.s, 6) AS score FROM n0 a JOIN n1 b USING (doc_id)""")
+def weighted_sum(spark, sf_dir):
+    """Two leaves added with weights."""
+    from .plans.query import Term, parse
+
+    found = R.Scores(I.ScanIndex(_documents(spark, sf_dir), PLAIN), parse("the is"))
+    total = 0.7 * found.leaf[Term("the")] + 0.3 * found.leaf[Term("is")]
+    return found.rows.select("doc_id", F.round(total, 6).alias("score"))
