@@ -63,12 +63,12 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     sizes = {r.source: r["size"] for r in by_source}
     goal = targets(sizes, weights, share, most)
     rows = sum(r.n for r in by_source)
-    bits = max(0, min(20, math.ceil(math.log2(max(rows, 1) / slice_rows)))) if rows > slice_rows else 0
+    digits = max(0, min(6, math.ceil(math.log(rows / slice_rows, 16)))) if rows > slice_rows else 0
     schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("sid", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     known = spark.createDataFrame([(s, k, sizes[s], float(goal[s])) for k, s in enumerate(goal)], schema)
-    shuffled = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
     docs = sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    docs = docs.withColumn("h", shuffled).withColumn("slice", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    docs = docs.withColumn("h", shuffled).withColumn("slice", F.substring("h", 1, digits))
     before = Window.partitionBy("sid").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = docs.groupBy("sid", "slice").agg(F.sum("size").alias("n"))
     first = sums.select("sid", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -86,7 +86,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         passes = one if passes is None else passes.unionByName(one)
     n = shuffle_partitions(spark)
     ranged = cut(passes.repartitionByRange(n, "at").withColumn("part", F.spark_partition_id()), "ranged")
-    budget, before_part, last, whole = sum(goal.values()), 0, None, None
+    budget, before_part, last, whole = min(share, most) * sum(sizes.values()), 0, None, None
     for r in sorted(ranged.groupBy("part").agg(F.sum("size").alias("n")).collect()):
         if before_part + r.n > budget:
             running = F.sum("size").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
@@ -99,7 +99,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     if last is None and whole is not None:
         last = ranged.filter(F.col("part") == whole).agg(F.max("at").alias("at")).first().at
     if last is not None:
-        limit = F.struct(F.lit(last.finish).cast("double"), F.lit(last.h).cast("long"), F.lit(last.id).cast("long"), F.lit(last.k).cast("int"))
+        limit = F.struct(F.lit(last.finish).cast("double"), F.lit(last.h), F.lit(last.id).cast("long"), F.lit(last.k).cast("int"))
         taken = sum((F.when((F.col("target") > 0) & (position(k) <= limit), F.col("size")).otherwise(0) for k in range(most)), taken)
     return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
@@ -121,7 +121,29 @@ def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source",
     at_least = alike.agg(*[F.sum((F.col("times") >= k).cast("long")).alias(f"least{k}") for k in range(1, most + 1)])
     rows = packed(df, key=F.col(f"`{key}`").cast("long"), source=F.col(f"`{source}`").cast("string"), size=n_words(text))
     same = F.col("key").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("n"))
-    nth = F.row_number().over(Window.partitionBy("id", "of", "n").orderBy(F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("id", "of", "n").orderBy(F.xxhash64("row")))
     joined = rows.join(at_least, same).withColumn("nth", nth)
     copies = joined.withColumn("copies", sum((F.when(F.col("nth") <= F.col(f"least{k}"), 1).otherwise(0) for k in range(1, most + 1)), F.lit(0)))
     return unpacked(copies.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+
+
+def oracle(weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7) -> str:
+    """The mix of ``documents`` as SQL for DuckDB.
+
+    Targets without a loop: by falling excess, the first k sources stop at
+    their most, for the least k at which no other source exceeds its own.
+    """
+    weight = " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(weights))
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(concat_ws(':', '{seed}', CAST(doc_id AS VARCHAR))) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {weight} END AS DOUBLE) AS w, CAST({most} * source_size AS DOUBLE) AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / w, source) AS k FROM w),
+b AS (SELECT {share} * sum(source_size) AS budget, sum(w) AS all_w, {min(share, most)} * sum(source_size) AS cut FROM o),
+c AS (SELECT n.k, budget - coalesce((SELECT sum(cap) FROM o WHERE o.k <= n.k), 0) AS rest, all_w - coalesce((SELECT sum(w) FROM o WHERE o.k <= n.k), 0) AS total FROM (SELECT 0 AS k UNION ALL SELECT k FROM o) n, b),
+f AS (SELECT min(c.k) AS k FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k > c.k AND c.rest * o.w / c.total > o.cap)),
+t AS (SELECT o.source, o.source_size, CASE WHEN o.k <= f.k THEN o.cap ELSE c.rest * o.w / c.total END AS target FROM o, f JOIN c ON c.k = f.k),
+q AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT doc_id, size, k, sum(size) OVER (ORDER BY CAST(upto + k * source_size AS DOUBLE) / target, h, doc_id, k ROWS UNBOUNDED PRECEDING) AS running FROM q, (SELECT unnest(range({most})) AS k) WHERE target > 0 AND size > 0),
+m AS (SELECT doc_id, sum(size) AS taken FROM p, b WHERE running <= cut GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(m.taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN m ON q.doc_id = m.doc_id"""

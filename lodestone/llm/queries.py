@@ -70,5 +70,6 @@ _SAID = "</s>[INST] ok [/INST]"
 ORACLE: dict[str, str] = {
     "op2_licenses": licenses.oracle(),
     "op3_quality": quality.oracle(),
+    "op7_mixing": mixing.oracle(),
     "op4_chat": chat.oracle(f"(SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')))"),
 }

@@ -189,13 +189,13 @@ def hex_digits(fp: str = "fp"):
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each class: the one with the least id (any one of rows that share it).
+    """One document of each class: the one with the least id (one of rows that share it, by a hash of the row).
 
     Rows without an id can't be named by a class and all stay.
     """
     classes = near_duplicate_classes(df, key, text, size, radius)
     keep = classes.filter("id = component_id").select("id").distinct()
     rows = packed(df, key=F.col(f"`{key}`").cast("long"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
     first = rows.join(keep, F.col("key") == F.col("id")).withColumn("nth", nth).filter("nth = 1")
     return unpacked(first.select("row")).unionByName(df.filter(F.col(f"`{key}`").isNull()))
