@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["BLANKS", "WORD", "count_blanks", "cut", "packed", "shared_dir", "shuffle_partitions", "table", "unpacked", "utf8", "words"]
+__all__ = ["BLANKS", "WORD", "count_blanks", "cut", "packed", "shared_dir", "shuffle_partitions", "table", "unpacked", "utf8"]
 
 #: A word is a maximal run without space and ``\t \n \v \f \r``, which is what
 #: ``bytes.split()`` cuts at.
@@ -19,10 +19,6 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def words(text: str | None) -> list[bytes]:
-    return utf8(text).split()
-
-
 def count_blanks(text: str) -> int:
     return sum(map(text.count, BLANKS))
 

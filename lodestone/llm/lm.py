@@ -7,8 +7,8 @@ learnt by expectation-maximisation on a fold of the training documents whose
 counts are left out ("deleted") meanwhile; the final counts are those of all
 training documents.
 
-Counts are exchanged by blocks.  Documents are dealt by the hash of their id
-into chunks of about ``chunk_bytes``; a chunk sends its distinct 64-bit token
+Counts are exchanged by blocks.  Documents are dealt by the hash of id and
+text into chunks of about ``chunk_bytes``; a chunk sends its distinct 64-bit token
 hashes and 56-bit pair hashes, sorted, with its own counts, cut into key
 ranges.  A range's counts are summed over all chunks and sent back in the
 order of the chunk's keys, so that answers carry no keys, and the chunk then
@@ -259,7 +259,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7
     chunks = max(1, -(-size // chunk_bytes))
     power = max(0, (chunks - 1).bit_length())
     small = -(-chunks // folds)
-    dealt = F.xxhash64("id")
+    dealt = F.xxhash64("id", "text")
     chunk = F.when(F.col("part") == 1, chunks + F.pmod(dealt, F.lit(small))).otherwise(F.pmod(dealt, F.lit(chunks)))
     docs = docs.withColumn("chunk", chunk)
     asked = docs.groupBy("chunk").applyInArrow(_ask(power), _ASKED)
