@@ -160,7 +160,7 @@ class StoredIndex:
         stats = self.doc_stats().select("doc_id", "dl")
         if not words:
             return stats
-        buckets = [r.b for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(bucket_of(F.col("w"), self.buckets).alias("b")).distinct().collect()]
+        buckets = sorted(set(self.spark.sql("SELECT 1").select(*[bucket_of(F.lit(w), self.buckets) for w in words]).first()))
         found = self.postings().filter(F.col("bucket").isin(buckets) & F.col("term").isin(words))
         each = [F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"p{k}") for k, w in enumerate(words)]
         rows = stats.join(found.groupBy("doc_id").agg(*each), "doc_id", "left")

@@ -25,7 +25,9 @@ def table_fetcher(pages: DataFrame, url: str = "url", html: str = "html") -> Fet
 def http_fetcher(timeout: float = 7.0, agents: tuple[str, ...] = ("Mozilla/5.0 (compatible; lodestone)",), proxies: tuple[str, ...] = (), tries: int = 5, partitions: int = 64) -> Fetcher:
     """Pages from the web, whatever the status, fetched on the executors; through a random proxy if there are any."""
 
-    def one(url: str) -> str:
+    def one(url: str | None) -> str:
+        if not url or not url.lower().startswith(("http://", "https://")):
+            return ""
         for _ in range(tries if proxies else 1):
             try:
                 proxy = urllib.request.ProxyHandler({"http": p, "https": p} if proxies and (p := random.choice(proxies)) else {})

@@ -81,7 +81,7 @@ def test_server_and_web_fetcher(engine, spark):
     try:
         with urllib.request.urlopen(url) as got:
             assert got.status == 200
-        wanted = spark.createDataFrame([(url,), (url + "none",), ("http://127.0.0.1:1/",)], "url string")
+        wanted = spark.createDataFrame([(url,), (url + "none",), ("http://127.0.0.1:1/",), ("file:///etc/hostname",), (None,)], "url string")
         rows = {r.url: r.html for r in http_fetcher(partitions=2)(wanted).collect()}
         assert set(rows) == {url, url + "none"} and "Routes" in rows[url]
     finally:
