@@ -10,6 +10,7 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+#: The patterns of absolute URLs, of anything like a URL, and of bare domains.
 _PREFIX = r"^(https?://)([a-zA-Z0-9-]+\.)+[a-zA-Z0-9-]+"
 _ANY = r"(https?://)?([a-zA-Z0-9.-]+)(/[^\s]*)?"
 _DOMAIN = r"^(https?://)?([a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}/?$"

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from ..functions.text import unquote
 
-#: A run of quotes up to the same run, an operator or bracket, or a term.
+#: Fixed value: the language's pattern: a run of quotes up to the same run, an operator or bracket, or a term.
 _COMPATIBLE = re.compile(r'("{1,})(.*?)\1|(AND|OR|NOT|\(|\))|([^\s"]+)', re.I | re.A | re.S)
 _INTENDED = re.compile(r'("{1,})(.*?)\1|((?:AND|OR|NOT)(?![^\s"()])|\(|\))|([^\s"()]+)', re.I | re.A | re.S)
 #: Precedence, tightest first; brackets and the end come after all operators.
