@@ -245,7 +245,7 @@ def _score(power: int, model: Mixture):
     return score
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, fold: int = 3, chunk_bytes: int = 16 << 20) -> DataFrame:
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, fold: int = 3, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Rows whose crc32 of the id modulo ``folds`` is ``held_out`` are not learnt
