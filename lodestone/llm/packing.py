@@ -85,7 +85,7 @@ def dominated_pairs(counts: dict[int, int], capacity: int) -> list[Layout]:
             for x in fit:
                 low += [x] * min(others(x), 3 - len(low))
             if not low or low[0] > room:
-                fix(((j, 1),), 1 if low and low[0] == j else counts[j])
+                fix(((j, 1),), counts[j])
                 continue
             b = next(x for x in reversed(shortest[: bisect_left(shortest, room + 1)]) if others(x))
             pairs = len(low) > 1 and low[0] + low[1] <= room
@@ -104,7 +104,11 @@ def dominated_pairs(counts: dict[int, int], capacity: int) -> list[Layout]:
                 pairs = best > b
             if pairs or triples:
                 break
-            fix(((j, 2),), 1) if b == j else fix(((j, 1), (b, 1)), 1)
+            # what is fixed only takes alternatives away, so it holds for as many as there are
+            if b == j:
+                fix(((j, 2),), counts[j] // 2)
+            else:
+                fix(((j, 1), (b, 1)), min(counts[j], counts[b]))
     return fixed
 
 
