@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,5 +35,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     made it.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediate(spark: SparkSession) -> int:
+    """Delete the intermediate tables this driver has written; the number of them.
+
+    For when no result that reads them is needed any more: results are lazy
+    and read these tables when they are used.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        where = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        where.getFileSystem(conf).delete(where, True)
+    return n

@@ -108,3 +108,16 @@ def test_seeds(spark, tmp_path):
     assert [r.url for r in seed_file(spark, str(tmp_path / "seeds.txt")).collect()] == ["https://a.com", "https://b.org"]
     assert [r.url for r in seeds_from_json(spark, '["x","y"]').collect()] == ["x", "y"]
     assert [r.proxy for r in proxies(spark.createDataFrame([("1:2 3:4\n",)], "value string")).collect()] == ["http://1:2", "http://3:4"]
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    from lodestone.sources.shared import cut, drop_intermediate
+
+    drop_intermediate(spark)
+    kept = cut(spark.range(3), "t")
+    assert kept.count() == 3
+    path = kept.inputFiles()[0].removeprefix("file://")
+    import os
+
+    assert os.path.exists(path)
+    assert drop_intermediate(spark) == 1 and not os.path.exists(path)
