@@ -56,7 +56,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2)
     return out
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, slice_rows: int = 5000) -> DataFrame:
+def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, slice_rows: int = 5000, broadcast_sources: int = 20_000) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for stored rows (doc_id, source, size)."""
     spark = sized.sparkSession
     by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
@@ -67,7 +67,9 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("sid", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     known = spark.createDataFrame([(s, k, sizes[s], float(goal[s])) for k, s in enumerate(goal)], schema)
     shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    docs = sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    if len(goal) <= broadcast_sources:
+        known = F.broadcast(known)
+    docs = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     docs = docs.withColumn("h", shuffled).withColumn("slice", F.substring("h", 1, digits))
     before = Window.partitionBy("sid").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = docs.groupBy("sid", "slice").agg(F.sum("size").alias("n"))
