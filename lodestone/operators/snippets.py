@@ -100,7 +100,7 @@ def search(index, docs: DataFrame, text: str, accuracy: float = 0.5, limit: int
     best = top(accurate(scores.frame(), accuracy), limit, modes.order)
     head = F.col(title) if title else F.lit("")
     slim = docs.select(F.col(doc_id).alias("doc_id"), head.alias("title"), F.concat(F.coalesce(head, F.lit("")), F.coalesce(F.col(content), F.lit(""))).alias("body"), (F.col(url) if url else F.lit("")).alias("url"))
-    rows = slim.join(F.broadcast(best), "doc_id")
+    rows = slim.join(F.broadcast(best) if limit <= 10_000 else best, "doc_id")
     ids = [r.doc_id for r in best.select("doc_id").collect()] if limit <= 1000 else None
     hits = index.positions(scores.words)
     hits = hits.filter(F.col("doc_id").isin(ids)) if ids is not None else hits
