@@ -4,15 +4,18 @@ Base spans come from four patterns with checks.  All spans that look like
 personal data, base or not, are the nodes of a field over one document:
 neighbours are chained, and each node is also tied to the nearest earlier one
 of the same or similar form (the same address ignoring case, the same last
-digits), however far away.  Loopy belief propagation lets such tied nodes agree
-on their label, so that a number marked once is found again in a form that no
-pattern matches.  Base spans are evidence and stay as they are.
+digits), however far away.  A node that no pattern matches is tied to the
+nearest base spans of its form on both sides as well, so that the evidence
+reaches every mention itself, however many lie between.  Loopy belief
+propagation lets such tied nodes agree on their label, so that a number marked
+once is found again in a form that no pattern matches.  Base spans are evidence
+and stay as they are.
 
 Node weights (softmax on shape features), chain weights and the weight of a
 tie are learnt from all documents.  What the driver gathers are counts by
 feature code and by label pair, whose number doesn't depend on the input.
-Each node has at most one chain edge and one tie backwards, so the field is
-linear in the document.
+Each node has at most one chain edge, one tie backwards and two to base spans,
+so the field is linear in the document.
 
 Defined results: a null text counts as empty; nulls in other columns are
 passed through; repeated rows are found each by itself; an empty table gives
@@ -142,13 +145,23 @@ def nodes(text: str | None) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def edges(keys: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges and ties; a tie goes to the nearest earlier node of the same key that isn't the neighbour."""
+def edges(keys: list[int], labels: list[int] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain edges and ties: to the nearest earlier node of the same key and, given labels, of each unlabelled node to
+    the nearest labelled ones of its key on both sides."""
     ties, last = [], {}
     for i, k in enumerate(keys):
         if k in last:
             ties.append((last[k], i))
         last[k] = i
+    if labels is not None:
+        for order in (range(len(keys)), range(len(keys) - 1, -1, -1)):
+            marked: dict[int, int] = {}
+            for i in order:
+                if labels[i]:
+                    marked[keys[i]] = i
+                elif keys[i] in marked:
+                    ties.append((min(i, marked[keys[i]]), max(i, marked[keys[i]])))
+        ties = list(dict.fromkeys(ties))
     return [(i, i + 1) for i in range(len(keys) - 1)], ties
 
 
@@ -161,36 +174,43 @@ class Field:
     tie: np.ndarray
     threshold: float = 0.9
 
-    def marginals(self, labels: list[int], codes: list[int], keys: list[int], rounds: int = 30) -> np.ndarray:
-        """Label probabilities of each node by loopy sum-product belief propagation."""
+    def marginals(self, labels: list[int], codes: list[int], keys: list[int], rounds: int | None = None) -> np.ndarray:
+        """Label probabilities of each node by loopy sum-product belief propagation.
+
+        It runs until no message changes; the limit of rounds grows with the
+        document.  A round computes only messages with a changed input.
+        """
         n = len(labels)
         unary = np.stack([self.node @ features(c) for c in codes])
         for i, label in enumerate(labels):
             if label:
                 unary[i] = -1e3
                 unary[i, label] = 0
-        chain, ties = edges(keys)
+        chain, ties = edges(keys, labels)
         a = np.array([x for x, _ in chain + ties], np.int64)
         b = np.array([y for _, y in chain + ties], np.int64)
-        belief = unary
+        belief = unary.copy()
         if len(a):
             pair = np.concatenate([np.broadcast_to(self.chain, (len(chain), *self.chain.shape)), np.broadcast_to(self.tie, (len(ties), *self.tie.shape))])
             source, goal = np.concatenate([a, b]), np.concatenate([b, a])
             pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
             sent = np.zeros((2 * len(a), len(LABELS)))
-            for _ in range(rounds):
-                belief = unary.copy()
-                np.add.at(belief, goal, sent)
-                inward = belief[source] - sent[back]
-                new = np.logaddexp.reduce(inward[:, :, None] + pair, axis=1)
+            live = np.arange(len(source))
+            for _ in range(30 + 4 * n if rounds is None else rounds):
+                inward = belief[source[live]] - sent[back[live]]
+                new = np.logaddexp.reduce(inward[:, :, None] + pair[live], axis=1)
                 new -= new.max(axis=1, keepdims=True)
-                change = np.abs(new - sent).max()
-                sent = 0.5 * sent + 0.5 * new
-                if change < 1e-4:
+                step = 0.5 * (new - sent[live])
+                sent[live] += step
+                np.add.at(belief, goal[live], step)
+                moved = live[np.abs(step).max(axis=1) >= 1e-5]
+                if not len(moved):
                     break
-            belief = unary.copy()
-            np.add.at(belief, goal, sent)
+                touched, again = np.zeros(n, bool), np.zeros(len(source), bool)
+                touched[goal[moved]] = True
+                again[moved] = True
+                live = np.flatnonzero(touched[source] | again)
         p = np.exp(belief - belief.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -104,3 +106,24 @@ def test_odd_rows(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id or 0, r.text, r.n_chars) for r in out.collect()) == [(0, "[EMAIL]", 7), (1, None, None), (2, "", 0), (3, "[EMAIL]", 7), (3, "[EMAIL]", 7)]
     assert P.find(df.limit(0)).count() == 0 == P.redact(df.limit(0)).count()
+
+
+@pytest.mark.parametrize("others", [1, 10, 100, 1000])
+@pytest.mark.parametrize("place", [0, 0.5, 1])
+def test_every_mention_is_found_however_many(others, place):
+    """One base span among many mentions of its number, with weights that prefer none by one nat."""
+    node = np.zeros((5, P.N_FEATURES))
+    node[:, -1] = [1, -2, -2, -2, 0]
+    field = P.Field(node, np.eye(5), np.eye(5) * 7.4)
+    mentions = ["743-555-3824"] * others
+    mentions.insert(int(place * others), "+1 (743) 555-3824")
+    text = " or ".join(mentions)
+    assert len(P.base_spans(text)) == 1
+    assert P.redacted(text, field) == " or ".join(["[PHONE]"] * (others + 1))
+
+
+def test_every_mention_is_found_with_learnt_weights(spark):
+    field = P.learn(P.find_nodes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).cache())
+    for others in (1, 10, 100, 1000):
+        text = " or ".join(["+1 (743) 555-3824", *["743-555-3824"] * others])
+        assert P.redacted(text, field) == " or ".join(["[PHONE]"] * (others + 1))
