@@ -1,11 +1,14 @@
 """Licence scans by sentence rules, in DataFrame operations only.
 
 A text is cut into sentences, at line ends and, a second time, at blank lines
-only, so that wrapped notices are read as well.  Each sentence is normalised
+only, so that wrapped notices are read as well.  A third, merged reading drops
+comment signs and bracketed list marks at the beginnings of lines, cuts at
+blank lines, and cuts what isn't known as a whole after a colon that ends a
+line, and then at line ends.  Each sentence is normalised
 (lower-cased ASCII letters and digits, everything else one space) and looked
 up among the known licence sentences.  Licence rules are ordered sequences of
 sentence identifiers: a rule holds where its identifiers follow one another
-among the recognised sentences of one of the two readings.
+among the recognised sentences of one of the three readings.
 
 Texts without any of the words that every known sentence has one of can't
 hold a known sentence and are not cut up.
@@ -29,6 +32,9 @@ HINTS = ("licen", "warrant", "copyright", "permission", "redistribut", "spdx", "
 SENTENCE_END = r"[.!?]+[ \t]+"
 LINES = SENTENCE_END + r"|[\r\n]+"
 PARAGRAPHS = r"[.!?]+[ \t\r\n]+|\r?\n[ \t]*\r?\n"
+#: What the merged reading drops at the beginnings of lines, and where it cuts, coarse to fine.
+COMMENT_SIGNS = r"""(?m)^[ \t#*/;%!<>"'|=~+-]+(?:\(?(?:[0-9]{1,2}|[A-Za-z])\)[ \t]+)?|^\(?(?:[0-9]{1,2}|[A-Za-z])\)[ \t]+"""
+MERGED = (PARAGRAPHS, r":[ \t]*[\r\n]+", r"[\r\n]+")
 
 #: Sentences of public licences and notices, by identifier.
 SENTENCES = {
@@ -115,6 +121,17 @@ class LicenceRules:
         parts = F.transform(F.split(text, border), lambda s: F.try_element_at(lookup, normalised(s)))
         return F.filter(parts, lambda s: s.isNotNull())
 
+    def merged(self, text: Column, borders: tuple[str, ...] = MERGED) -> Column:
+        """Identifiers in order: of each part cut at the first border or, where that isn't known, of its parts by the next."""
+        lookup = self.lookup()
+
+        def read(part: Column, finer: tuple[str, ...]) -> Column:
+            known = F.try_element_at(lookup, normalised(part))
+            below = F.flatten(F.transform(F.split(part, finer[0]), lambda s: read(s, finer[1:]))) if finer else F.array().cast("array<string>")
+            return F.when(known.isNotNull(), F.array(known)).otherwise(below)
+
+        return read(F.regexp_replace(text, COMMENT_SIGNS, ""), borders)
+
     def matched(self, ids: Column) -> list[Column]:
         """Per rule, its licence where the identifiers follow one another, else null."""
         line = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
@@ -127,14 +144,20 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", rules: LicenceR
     may = t.rlike("(?i)" + "|".join(map(re.escape, rules.hints)).replace(r"\ ", r"[^a-z0-9]+"))
     slim = df.select(F.col(f"`{key}`").alias("id"), F.when(may, t).alias("t"))
     none = F.array().cast("array<string>")
-    read = slim.select("id", *[F.when(F.col("t").isNull(), none).otherwise(rules.identified(F.col("t"), b)).alias(n) for n, b in (("by_line", LINES), ("by_paragraph", PARAGRAPHS))])
-    licences = F.array_compact(F.array(*rules.matched(F.col("by_line")), *rules.matched(F.col("by_paragraph"))))
+    readings = {"by_line": rules.identified(F.col("t"), LINES), "by_paragraph": rules.identified(F.col("t"), PARAGRAPHS), "merged": rules.merged(F.col("t"))}
+    read = slim.select("id", *[F.when(F.col("t").isNull(), none).otherwise(ids).alias(n) for n, ids in readings.items()])
+    licences = F.array_compact(F.array(*[m for n in readings for m in rules.matched(F.col(n))]))
     longer = F.when(F.size("by_paragraph") > F.size("by_line"), F.col("by_paragraph")).otherwise(F.col("by_line"))
+    longer = F.when(F.size("merged") > F.size(longer), F.col("merged")).otherwise(longer)
     return read.select("id", longer.alias("sentence_ids"), F.array_sort(F.array_distinct(licences)).alias("licences"))
 
 
 def oracle(rules: LicenceRules = LicenceRules()) -> str:
-    """The scan of ``documents`` as SQL for DuckDB."""
+    """The scan of ``documents`` as SQL for DuckDB, without the merged reading.
+
+    It is the same for texts in which that reading finds nothing more, such as
+    those without comment signs, list marks and wrapped sentences.
+    """
 
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"

@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from lodestone.llm import licenses as L
@@ -52,3 +54,50 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, text, "a"), (1, text, None), (1, text, None)], "doc_id long, text string, t string")
     assert [r.licences for r in L.scan(df).collect()] == [["MIT"]] * 3
     assert L.scan(df.limit(0)).count() == 0
+
+
+APACHE = """Copyright 2020 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = "Copyright\n\n" + "\n\n".join(textwrap.fill(L.SENTENCES[n], 70) for n in ("mit-grant", "mit-notice", "mit-warranty"))
+BSD = "Copyright\n\n{}\n{}\n{}\n\nTHIS SOFTWARE IS PROVIDED"
+CLAUSES = [L.SENTENCES[n] for n in ("bsd-redistribution", "bsd-source", "bsd-binary")]
+COMMENTS = [("", "", ""), ("", "# ", ""), ("", "// ", ""), ("/*\n", " * ", "\n */"), ("<!--\n", "", "\n-->"), ("", "-- ", ""), ("", ";; ", ""), ("", "! ", ""), ('"""\n', "", '\n"""')]
+
+
+@pytest.mark.parametrize("marks", [("", ""), ("1. ", "2. "), ("(1) ", "(2) "), ("a) ", "b) "), ("* ", "* "), ("- ", "- ")])
+def test_notices_in_comments(spark, marks):
+    bsd = BSD.format(*[textwrap.fill(m + c, 70) for m, c in zip(("", *marks), CLAUSES)])
+    wanted = [
+        (APACHE, ["apache2-header", "apache2-warranty", "apache2-see"], ["Apache-2.0"]),
+        (APACHE.replace("at\n\n", "at\n"), ["apache2-header", "apache2-copy", "apache2-warranty", "apache2-see"], ["Apache-2.0"]),
+        (MIT, ["mit-grant", "mit-notice", "mit-warranty"], ["MIT"]),
+        (MIT.replace(":\n\n", ":\n"), ["mit-grant", "mit-notice", "mit-warranty"], ["MIT"]),
+        (bsd, ["bsd-redistribution", "bsd-source", "bsd-binary"], ["BSD-2-Clause"]),
+    ]
+    cases = []
+    for text, ids, licences in wanted:
+        for first, sign, last in COMMENTS:
+            for end in ("\n", "\r\n"):
+                lines = [(sign + line).rstrip() for line in text.split("\n")]
+                cases.append((len(cases), (f"import os\n{first}" + "\n".join(lines) + f"{last}\nx = 1\n").replace("\n", end), ids, licences))
+    got = {r.id: (r.sentence_ids, r.licences) for r in L.scan(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string")).collect()}
+    for k, text, ids, licences in cases:
+        assert got[k] == (ids, licences), text
+
+
+def test_wrapped_and_single_lines_mixed(spark):
+    s = L.SENTENCES
+    text = textwrap.fill(s["gpl-free"], 70) + "\n" + s["gpl-warranty"] + "\nCode\nReleased under the MIT License\nmore"
+    assert found(spark, text) == (["gpl-free", "gpl-warranty", "mit-release"], ["GPL-3.0", "MIT"])
+    assert found(spark, "# Not\n# released under the MIT License, or so.") == ([], [])
