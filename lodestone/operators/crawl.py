@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,12 +18,14 @@ from ..sources.store import Store, stored_pages
 
 @dataclass
 class Crawler:
-    """A crawl that stops at ``max_pages``, when the frontier is empty, or when told to.
-
-    A round takes the frontier's URLs that were not visited, fetches and
-    parses them, stores the pages, and makes the next frontier of their
-    links.  URLs are told apart by themselves, not by a hash, and a page is
-    stored once however many links lead to it.
+    """A crawl that stops at ``max_pages``, when the frontier is empty, when told to, or after ``max_rounds`` rounds.
+
+    The frontier is one level of the breadth-first search: URLs that were
+    neither visited nor tried by this run.  A round fetches and parses at most
+    ``frontier_limit`` of them and stores the pages; the others wait for the
+    next round.  When all of a level were tried, the links of its pages make
+    the next one.  URLs are told apart by themselves, not by a hash, and a page
+    is stored once however many links lead to it.
     """
 
     spark: SparkSession
@@ -53,27 +56,49 @@ class Crawler:
         if clear:
             self.store.clear("pages")
             self.store.clear("visited")
-        frontier, stored = cut(self.seeds(seeds), "frontier"), 0
-        for _ in range(self.max_rounds):
-            if self.stop.is_set() or stored >= self.max_pages:
-                break
+        frontier, stored, rounds = cut(self.seeds(seeds).filter("url is not null"), "frontier"), 0, 0
+        failed = frontier.limit(0)
+        while not self.ended(stored, rounds):
             visited = self.store.read("visited").select("url")
-            todo = frontier.join(visited, "url", "left_anti")
+            todo = frontier.join(visited, "url", "left_anti").join(failed, "url", "left_anti")
             if self.robots_mode != "compatible":
                 banned = cut(self.forbidden(todo), "forbidden")
                 self.store.save_visited(banned)
                 todo = todo.join(banned, "url", "left_anti")
-            batch = cut(todo.orderBy("url").limit(self.max_pages - stored), "batch")
-            pages = cut(page_documents(self.fetch(batch).filter("html <> ''")), "pages")
-            n = pages.count()
-            if not n:
+            rest = level = cut(todo, "level")
+            found, tried, had, spread = [], 0, 0, 1
+            while not self.ended(stored, rounds):
+                wanted = self.max_pages - stored
+                most = min(wanted * spread, self.frontier_limit)
+                batch = cut(rest.orderBy("url").limit(most), "batch")
+                size = batch.count()
+                if not size:
+                    break
+                rounds += 1
+                got = page_documents(self.fetch(batch).filter("html <> ''"))
+                pages = cut(got.orderBy("url").limit(wanted) if most > wanted else got, "pages")
+                n = pages.count()
+                if n:
+                    self.store.insert("pages", stored_pages(pages))
+                    self.store.save_visited(pages.select("url"))
+                    stored += n
+                    found.append(cut(self.next_frontier(pages), "frontier"))
+                tried, had = tried + size, had + n
+                if size < most:
+                    break
+                # Where most fetches fail, the last few pages would else take a round each.
+                spread = 2 * spread if 2 * n < min(size, wanted) else 1
+                rest = cut(rest.join(batch, "url", "left_anti"), "rest")
+            if not found:
                 break
-            self.store.insert("pages", stored_pages(pages))
-            self.store.save_visited(pages.select("url"))
-            stored += n
-            frontier = cut(self.next_frontier(pages).limit(self.frontier_limit), "frontier")
+            if had < tried:
+                failed = cut(failed.unionByName(level.join(self.store.read("visited").select("url"), "url", "left_anti")), "failed")
+            frontier = found[0] if len(found) == 1 else cut(reduce(DataFrame.unionByName, found).distinct(), "frontier")
         return stored
 
+    def ended(self, stored: int, rounds: int) -> bool:
+        return self.stop.is_set() or stored >= self.max_pages or rounds >= self.max_rounds
+
     def next_frontier(self, pages: DataFrame) -> DataFrame:
         """Absolute, not yet visited URLs that pages link to."""
         return links_of(pages, self.tlds, self.tld_mode).select(F.col("target").alias("url")).distinct().join(self.store.read("visited").select("url"), "url", "left_anti")

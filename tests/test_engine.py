@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
+from lodestone.operators.crawl import Crawler
 from lodestone.operators.index import Analyzer
 from lodestone.service import answer, serve
 from lodestone.sources.fetch import http_fetcher, table_fetcher
@@ -53,6 +54,30 @@ def test_page_limit(engine):
     assert engine.crawl_and_index(["https://b.org/x"], 5, clear=True) == (1, 1)
 
 
+@pytest.mark.parametrize("seeds, failing, limit, expected", [(30, 3, 10, range(3, 13)), (30, 10, 10, range(10, 20)), (12, 9, 10, [9, 10, 11]), (40, 38, 3, [38, 39]), (12, 12, 5, [])])
+def test_page_limit_below_the_seeds(spark, tmp_path, seeds, failing, limit, expected):
+    """The first ``failing`` seeds can't be fetched; the others link to a failing one and, at last, to a page beyond."""
+    known = [(f"https://a.com/{k:03d}", '<a href="/000">0</a><a href="/z">z</a>') for k in range(failing, seeds)] + [("https://a.com/z", "z")]
+    fetch, asked = table_fetcher(spark.createDataFrame(known, "url string, html string")), []
+
+    def counted(urls):
+        asked.extend(r.url for r in urls.collect())
+        return fetch(urls)
+
+    engine = Engine(spark, str(tmp_path / "base"), counted, Analyzer(stem=False), tlds=["COM"], buckets=4)
+    n = engine.crawl([f"https://a.com/{k:03d}" for k in range(seeds)], limit)
+    beyond = {"https://a.com/z"} if expected and len(expected) < limit else set()
+    assert urls(engine) == {f"https://a.com/{k:03d}" for k in expected} | beyond and n == len(expected) + len(beyond)
+    assert len(asked) == len(set(asked))
+
+
+def test_frontier_limit_loses_nothing(spark, tmp_path):
+    known = [("https://a.com", "".join(f'<a href="/{k}">x</a>' for k in range(7)))] + [(f"https://a.com/{k}", "x") for k in range(7)]
+    store = Store(spark, str(tmp_path / "s"))
+    crawler = Crawler(spark, store, table_fetcher(spark.createDataFrame(known, "url string, html string")), ["COM"], frontier_limit=3)
+    assert crawler.run(["https://a.com"]) == 8 == store.count("pages")
+
+
 def test_routes(engine):
     def call(method, target, **body):
         status, _, text = answer(engine, method, target, json.dumps(body))
