@@ -173,14 +173,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3, block: int = 4096) -> DataFrame:
-    """(id, fp, component_id) of every row of ``df``."""
+    """(id, fp, component_id, class_fp) of every row of ``df``; class_fp, the least fingerprint, tells classes apart."""
     fps = cut(fingerprints(df, key, text, size), "fingerprints")
     distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
     labels = cut(components(links(distinct, radius, block)), "labels")
     named = labels.join(distinct.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    linked = named.join(least, "label").select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked"))
-    classes = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
+    linked = named.join(least, "label").select(F.col("node").alias("fp"), "component_id", "label", F.lit(True).alias("linked"))
+    classes = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"), F.coalesce("label", "fp").alias("class_fp"))
     return fps.join(classes, "fp")
 
 
@@ -189,13 +189,21 @@ def hex_digits(fp: str = "fp"):
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
-    """One document of each class: the one with the least id (one of rows that share it, by a hash of the row).
+    """One document of each class: the one with the least id (of rows that share it, the least fingerprint's, then by a hash of the row).
 
     Rows without an id can't be named by a class and all stay.
     """
     classes = near_duplicate_classes(df, key, text, size, radius)
-    keep = classes.filter("id = component_id").select("id").distinct()
-    rows = packed(df, key=F.col(f"`{key}`").cast("long"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
-    first = rows.join(keep, F.col("key") == F.col("id")).withColumn("nth", nth).filter("nth = 1")
-    return unpacked(first.select("row")).unionByName(df.filter(F.col(f"`{key}`").isNull()))
+    first = classes.filter("id = component_id").groupBy("class_fp").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
+    counts = classes.filter("id is not null").groupBy("id").agg((F.count(F.lit(1)) > 1).alias("shared"))
+    keep = cut(first.select("id", "fp").join(counts, "id"), "keep")
+    rows = packed(df, key=F.col(f"`{key}`").cast("long"), t=F.col(f"`{text}`").cast("string"))
+    out = rows.join(keep.filter("not shared").select("id"), F.col("key") == F.col("id")).select("row")
+    shared = keep.filter("shared").select("id", "fp")
+    if not shared.isEmpty():
+        # An id doesn't tell these rows apart, so their fingerprints are taken again.
+        print_of = F.udf(lambda x: signed(fingerprint(x, size)), "long")
+        ours = rows.join(shared.select("id").distinct(), F.col("key") == F.col("id")).select("row", "id", print_of("t").alias("fp"))
+        nth = F.row_number().over(Window.partitionBy("id", "fp").orderBy(F.xxhash64("row")))
+        out = out.unionByName(ours.join(shared, ["id", "fp"]).withColumn("nth", nth).filter("nth = 1").select("row"))
+    return unpacked(out).unionByName(df.filter(F.col(f"`{key}`").isNull()))

@@ -113,3 +113,10 @@ def test_star_edges_stay_within_the_radius_graph():
     x = np.array([0, 1, 3, 7, 15, 3 << 40], np.int64)
     out = list(S._stars([pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.int64()))], names=["m"])], 1))
     assert sorted(zip(out[0][0].to_pylist(), out[0][1].to_pylist())) == [(0, 1), (0, 3), (0, 7), (0, 15)]
+
+
+def test_each_class_keeps_one_row_where_ids_repeat(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, one), (2, three), (3, three), (4, two)]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, one), (1, two), (2, three)]
