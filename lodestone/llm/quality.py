@@ -1,14 +1,19 @@
 """Quality rules with host-level verdicts.
 
 Every document is measured once, the documents' rule failures are summed by
-host, each host's failure rates are shrunk with a beta prior fitted to all
-hosts by the method of moments, and the host's verdict is joined back.
+host, each host's failure rate is shrunk with a beta prior fitted to all hosts
+by the method of moments, and the host's verdict is joined back.  A host is
+poor if its shrunk rate lies above the prior's mean by ``host_deviations``
+standard deviations of the host's posterior: by 0.6745 of them it fails more
+often than the corpus with a probability of three quarters.  One soft failure
+is then enough for its documents to go.
 
 Defined results: a null text counts as empty (no words, so it fails); a null
 host is a host of its own; repeated rows are measured and counted each; an
-empty table gives an empty result; further columns, whatever their names, are
-carried along untouched unless they bear the name of a measure, in which case
-the measure replaces them.
+empty table gives an empty result; ``filter_documents`` carries all columns
+along untouched, whatever their names; ``judge`` gives the id and the host
+under their own names or, where one of them is that of a measure or verdict,
+as ``id`` and ``host``.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ class QualityRules:
     min_mean_word_chars: float = 2.0
     max_mean_word_chars: float = 15.0
     max_dup_line_percent: int = 30
-    host_rate: float = 0.5
+    host_deviations: float = 0.6745
     soft_failures: int = 2
     #: Up to so many poor hosts are broadcast; beyond, the join is shuffled.
     broadcast_hosts: int = 20_000
@@ -79,20 +84,21 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     )
 
 
-def _measured(batches: Iterator[pa.RecordBatch], text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch], text: str, names: list[str], within: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [measure(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+        column = batch.column(batch.schema.get_field_index(within or text))
+        rows = [measure(x) for x in (column.field(text) if within else column).to_pylist()]
         columns = list(zip(*rows)) if rows else [[]] * len(MEASURES)
         kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
         yield pa.RecordBatch.from_arrays(kept + [pa.array(c, pa.int64()) for c in columns], names=[*names, *MEASURES])
 
 
-def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the measures of its text column."""
-    kept = [f for f in df.schema.fields if f.name not in MEASURES]
+def with_measures(df: DataFrame, text: str = "text", within: str | None = None) -> DataFrame:
+    """``df`` without its text column, with the text's measures instead; the text may be a field ``within`` a column, which stays."""
+    kept = [f for f in df.schema.fields if within or f.name != text]
     schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in MEASURES)])
     names = [f.name for f in kept]
-    return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(lambda it: _measured(it, text, names), schema)
+    return df.mapInArrow(lambda it: _measured(it, text, names, within), schema)
 
 
 def base_failed(r: QualityRules) -> Column:
@@ -108,11 +114,10 @@ def soft_rules(r: QualityRules) -> dict[str, Column]:
     }
 
 
-def beta_prior(hosts: int, docs: float, fails: float, squares: float, weighted: float) -> tuple[float, float]:
+def beta_prior(hosts: int, docs: float, fails: float, weighted: float) -> tuple[float, float]:
     """Beta parameters by the method of moments.
 
-    ``squares``: sum of n squared over hosts; ``weighted``: sum of n times the
-    squared rate.  Where the hosts differ no more than chance would make them,
+    ``weighted``: sum over hosts of documents times the squared rate.  Where the hosts differ no more than chance would make them,
     the prior is as strong as all documents of a mean host together.
     """
     if not docs:
@@ -127,8 +132,8 @@ def beta_prior(hosts: int, docs: float, fails: float, squares: float, weighted:
     return mean * strength, (1 - mean) * strength
 
 
-def host_rates(measured: DataFrame, host: str, rules: QualityRules) -> DataFrame:
-    """A row per host: documents, and the shrunk rate of documents failing any rule.
+def host_rates(measured: DataFrame, rules: QualityRules) -> DataFrame:
+    """A row per ``host``: documents, failing ones, their shrunk rate, and whether the host is poor.
 
     Only counts are shuffled, pre-aggregated by task, so a hot host costs no
     more than any other.
@@ -137,45 +142,48 @@ def host_rates(measured: DataFrame, host: str, rules: QualityRules) -> DataFrame
     for c in soft_rules(rules).values():
         any_soft = c if any_soft is None else any_soft | c
     bad = (base_failed(rules) | any_soft).cast("long")
-    hosts = cut(measured.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.sum(bad).alias("fails")), "hosts")
+    hosts = cut(measured.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.sum(bad).alias("fails")), "hosts")
     d, f = F.col("docs").cast("double"), F.col("fails").cast("double")
-    s = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(d).alias("docs"), F.sum(f).alias("fails"), F.sum(d * d).alias("squares"), F.sum(f * f / d).alias("weighted")).first()
-    a, b = beta_prior(s.hosts, s.docs or 0.0, s.fails or 0.0, s.squares or 0.0, s.weighted or 0.0)
-    return hosts.withColumn("rate", (f + a) / (d + a + b))
+    s = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(d).alias("docs"), F.sum(f).alias("fails"), F.sum(f * f / d).alias("weighted")).first()
+    a, b = beta_prior(s.hosts, s.docs or 0.0, s.fails or 0.0, s.weighted or 0.0)
+    rate = F.col("rate")
+    deviation = F.sqrt(rate * (1 - rate) / (d + (a + b + 1)))
+    return hosts.withColumn("rate", (f + a) / (d + (a + b))).withColumn("poor", rate - F.lit(a / (a + b)) >= rules.host_deviations * deviation)
 
 
-def verdicts(measured: DataFrame, rates: DataFrame, host: str, rules: QualityRules) -> DataFrame:
+def verdicts(measured: DataFrame, rates: DataFrame, rules: QualityRules) -> DataFrame:
     """``measured`` with base_failed, host_poor and kept.
 
     A document goes if a base rule rejects it, if so many soft rules do, or if
     one does and its host is poor.  A document without any failure stays, even
     on a poor host.
     """
-    poor = rates.filter(F.col("rate") > rules.host_rate).select(F.col("host").alias("__host"), F.lit(True).alias("__poor"))
+    poor = rates.filter("poor").select(F.col("host").alias("poor_host"), F.lit(True).alias("poor"))
     if poor.count() <= rules.broadcast_hosts:
         poor = F.broadcast(poor)
     soft = sum((c.cast("int") for c in soft_rules(rules).values()), F.lit(0))
-    out = measured.join(poor, F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left").drop("__host")
-    out = out.withColumn("base_failed", base_failed(rules)).withColumn("host_poor", F.coalesce(F.col("__poor"), F.lit(False)))
+    out = measured.join(poor, F.col("host").eqNullSafe(F.col("poor_host")), "left")
+    out = out.withColumn("base_failed", base_failed(rules)).withColumn("host_poor", F.coalesce("poor", F.lit(False)))
     keep = ~F.col("base_failed") & (soft < F.when(F.col("host_poor"), 1).otherwise(rules.soft_failures))
-    return out.withColumn("kept", keep).drop("__poor")
+    return out.withColumn("kept", keep).drop("poor_host", "poor")
 
 
 def judge(df: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
     """Measures and verdicts of every document: its ``key`` and ``host``, no text."""
-    slim = df.select(f"`{key}`", f"`{host}`", f"`{text}`")
-    measured = cut(with_measures(slim, text).drop(text), "measures")
-    return verdicts(measured, host_rates(measured, host, rules), host, rules)
+    slim = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").cast("string").alias("text"))
+    measured = cut(with_measures(slim), "measures")
+    own = (*MEASURES, "base_failed", "host_poor", "kept")
+    out = verdicts(measured, host_rates(measured, rules), rules)
+    return out if key in own or host in own else out.toDF(*[{"id": key, "host": host}.get(n, n) for n in out.columns])
 
 
 def filter_documents(df: DataFrame, host: str = "source", text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
     """The kept documents with their columns.
 
-    Texts are read twice, for the hosts and for the verdicts, and never shuffled.
+    Texts are measured once, beside their rows in a stored table, and never shuffled.
     """
-    rows = packed(df, host=F.col(f"`{host}`"), text=F.col(f"`{text}`"))
-    rates = host_rates(with_measures(rows.select("host", "text")), "host", rules)
-    return unpacked(verdicts(with_measures(rows), rates, "host", rules).filter("kept"))
+    rows = cut(with_measures(packed(df, host=F.col(f"`{host}`")), text, "row"), "measured")
+    return unpacked(verdicts(rows, host_rates(rows, rules), rules).filter("kept"))
 
 
 def oracle(rules: QualityRules = QualityRules()) -> str:
@@ -200,7 +208,8 @@ s AS (SELECT count(*) AS hosts, sum(docs) AS docs, sum(fails) AS fails, sum(fail
 q AS (SELECT *, least(greatest(fails / docs, 1e-6), 1 - 1e-6) AS mean, greatest(docs / greatest(hosts, 1), 1.0) AS most FROM s),
 b AS (SELECT *, greatest(weighted / docs - (fails / docs) ** 2 - mean * (1 - mean) * hosts / docs, 0) AS between_hosts FROM q),
 e AS (SELECT mean, greatest(CASE WHEN between_hosts > 0 THEN least(mean * (1 - mean) / between_hosts - 1, most) ELSE most END, 1.0) AS strength FROM b),
-v AS (SELECT source, (fails + mean * strength) / (docs + mean * strength + (1 - mean) * strength) > {r.host_rate} AS poor FROM h, e)
+u AS (SELECT source, mean, (fails + mean * strength) / (docs + strength) AS rate, docs + strength + 1 AS n FROM h, e),
+v AS (SELECT source, rate - mean >= {r.host_deviations} * sqrt(rate * (1 - rate) / n) AS poor FROM u)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND soft < CASE WHEN poor THEN 1 ELSE {r.soft_failures} END AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""

@@ -52,12 +52,41 @@ def test_host_verdicts(spark):
     assert not any(kept[200 + k] for k in range(40)) and kept[300]  # a clean document stays on a poor host
 
 
+def test_hosts_decide_on_the_table(spark):
+    """The host's verdict changes which documents are kept, only of those with one soft failure, only on hosts above the corpus."""
+    rows = Q.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    changed = [r for r in rows if not r.kept and not r.base_failed]
+    assert changed and all(r.host_poor for r in changed)
+    poor = {r.source for r in rows if r.host_poor}
+    assert 0 < len(poor) < len({r.source for r in rows}) / 2
+
+    def bad(r):
+        return r.base_failed or 100 * r.n_symbols > 30 * r.n_words or not 2 * r.n_words <= r.word_chars <= 15 * r.n_words or 100 * r.n_dup_lines > 30 * r.n_lines
+
+    rate = sum(map(bad, rows)) / len(rows)
+    for h in poor:
+        own = [r for r in rows if r.source == h]
+        assert sum(map(bad, own)) / len(own) > rate
+    assert all(r.kept for r in rows if not bad(r))
+
+
+def test_names_of_ids_and_hosts_may_clash(spark):
+    rows = [(f"a{k}", "n" if k % 2 else "p", clean(k) if k % 2 else junk(k)) for k in range(60)] + [("b", "p", clean(99))]
+    plain = sorted((r.doc_id, r.source, r.n_words, r.kept) for r in Q.judge(spark.createDataFrame(rows, "doc_id string, source string, text string")).collect())
+    for key, host, text in (("kept", "n_words", "text"), ("host", "id", "base_failed"), ("text", "doc_id", "host"), ("n_lines", "host_poor", "kept")):
+        out = Q.judge(spark.createDataFrame(rows, f"`{key}` string, `{host}` string, `{text}` string"), key, host, text)
+        own = (*Q.MEASURES, "base_failed", "host_poor", "kept")
+        assert len(set(out.columns)) == len(out.columns)
+        names = ["id", "host"] if key in own or host in own else [key, host]
+        assert sorted(map(tuple, out.select(*[f"`{n}`" for n in (*names, "n_words", "kept")]).collect())) == plain
+
+
 def test_beta_prior():
-    a, b = Q.beta_prior(3, 300, 30, 30_000, 0.1 * 30)  # all hosts alike: as strong as a mean host
+    a, b = Q.beta_prior(3, 300, 30, 0.1 * 30)  # all hosts alike: as strong as a mean host
     assert a / (a + b) == pytest.approx(0.1) and a + b == pytest.approx(100)
-    a, b = Q.beta_prior(2, 200, 100, 20_000, 100 * 0.81 + 100 * 0.01)
+    a, b = Q.beta_prior(2, 200, 100, 100 * 0.81 + 100 * 0.01)
     assert a + b < 3 and a / (a + b) == pytest.approx(0.5)
-    assert Q.beta_prior(0, 0, 0, 0, 0) == (1.0, 1.0)
+    assert Q.beta_prior(0, 0, 0, 0) == (1.0, 1.0)
 
 
 def test_odd_rows(spark):
