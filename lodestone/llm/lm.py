@@ -7,32 +7,37 @@ learnt by expectation-maximisation on a fold of the training documents whose
 counts are left out ("deleted") meanwhile; the final counts are those of all
 training documents.
 
-Counts are exchanged by blocks.  Documents are dealt by the hash of id and
-text into chunks of about ``chunk_bytes``; a chunk sends its distinct 64-bit token
-hashes and 56-bit pair hashes, sorted, with its own counts, cut into key
-ranges.  A range's counts are summed over all chunks and sent back in the
+Counts are exchanged by blocks.  Documents are gathered where they are read
+into chunks of about ``chunk_bytes`` of text, written once, compressed, and
+read for every later step; the fold makes chunks of its own, which alone are
+read for the mixture weights.  A chunk sends its distinct 64-bit hashes of
+tokens and pairs, sorted, with its own counts, cut into key ranges.  A range's
+counts are summed over all chunks, as 64-bit numbers, and sent back in the
 order of the chunk's keys, so that answers carry no keys, and the chunk then
 scores its documents with array look-ups.  A frequent word is one key per
-chunk, so it makes no range larger than others.  The fold makes chunks of its
-own, which alone are read for the mixture weights.  What the driver sees are
-counts by (context bucket, two quantised probabilities), whose number is
-bounded whatever the input.
+chunk, so it makes no range larger than others.  Texts are shuffled once, to
+meet their answers.  What the driver sees are counts by (context bucket, two
+quantised probabilities), whose number is bounded whatever the input.
 
 Words are told apart by 64-bit hashes: in a vocabulary of ten million two
-words share one with a probability of about 3 in a million.
+words share one with a probability of about 3 in a million.  Pairs are told
+apart likewise: of ten thousand million, about three share a hash.
 
 Defined results: a null text counts as empty (its end token is scored); a null
-id counts as id '' for the folds; repeated rows are counted and scored each;
-an empty table gives an empty result; further columns are ignored.
+id counts as id '' for the folds; ids may be of any type; repeated rows are
+counted and scored each; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +46,6 @@ from .common import cut, utf8
 
 END = b"\n"
 END_HASH = xxhash.xxh64_intdigest(END)
-PAIR_BITS = 56
 BUCKETS = 24
 STEPS = 4
 NEVER = -(1 << 20)
@@ -57,16 +61,23 @@ def unplaned(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def hashes(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    """Hashes of the lower-cased text's words and the end token."""
-    out = []
-    for w in utf8(text).lower().split():
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    out.append(END_HASH)
-    return np.array(out, np.uint64)
+class _Known(dict):
+    """word: its number in order of first sight; ``hashes`` by number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return n
+
+
+def pair_hash(before: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (flat + (before >> np.uint64(29)))
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(32))
 
 
 @dataclass
@@ -81,24 +92,26 @@ class Chunk:
     pair_at: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str | None]) -> Chunk:
-        known: dict[bytes, int] = {}
-        each = [hashes(x, known) for x in texts]
-        lengths = np.array([len(x) for x in each], np.int64)
-        flat = np.concatenate(each) if each else np.empty(0, np.uint64)
-        before = np.empty_like(flat)
-        before[1:] = flat[:-1]
-        before[np.cumsum(lengths) - lengths] = np.uint64(END_HASH)
-        mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (flat + (before >> np.uint64(29)))
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        pair = (mixed ^ (mixed >> np.uint64(32))) >> np.uint64(64 - PAIR_BITS)
-        tokens, token_at = np.unique(flat, return_inverse=True)
-        pairs, pair_at = np.unique(pair, return_inverse=True)
-        token_at = token_at.astype(np.int32)
-        context_at = np.empty_like(token_at)
-        context_at[1:] = token_at[:-1]
-        context_at[np.cumsum(lengths) - lengths] = np.searchsorted(tokens, np.uint64(END_HASH))
-        return cls(lengths, tokens, token_at, context_at, pairs, pair_at.astype(np.int32))
+    def of(cls, texts: list[bytes]) -> Chunk:
+        known = _Known()
+        end = known[END]
+        lengths = np.empty(len(texts), np.int64)
+        each = []
+        for k, text in enumerate(texts):
+            words = text.lower().split()
+            words.append(END)
+            lengths[k] = len(words)
+            each.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+        number = np.concatenate(each) if each else np.empty(0, np.int32)
+        hashed = np.array(known.hashes, np.uint64)
+        order = np.argsort(hashed)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        context = np.empty_like(number)
+        context[1:] = number[:-1]
+        context[np.cumsum(lengths) - lengths] = end
+        pairs, pair_at = np.unique(pair_hash(hashed[context], hashed[number]), return_inverse=True)
+        return cls(lengths, hashed[order], place[number], place[context], pairs, pair_at.astype(np.int32))
 
 
 @dataclass(frozen=True)
@@ -145,30 +158,68 @@ def expectation_maximisation(cells: np.ndarray, v: int, rounds: int = 60) -> np.
 _ASKED = T.StructType([T.StructField("range", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("first", T.BinaryType()), T.StructField("fold", T.BinaryType())])
 _TOLD = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("range", T.LongType()), T.StructField("main", T.BinaryType()), T.StructField("fold", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("v", T.LongType()), T.StructField("v_main", T.LongType()), T.StructField("n_main", T.LongType())])
 _CELLS = T.StructType([T.StructField(n, T.LongType()) for n in ("b", "p2", "p1", "n")])
-SCORED = T.StructType([T.StructField("id", T.LongType()), T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+_SCORES = [T.StructField("held_out", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+
+
+def _gathered(chunk_bytes: int):
+    """Rows (of_fold, raw, ids, parts, sizes, texts) of about ``chunk_bytes`` each; a longer text is a row of its own."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        open_: dict[bool, list] = {True: [], False: []}
+        sizes = {True: 0, False: 0}
+        kind = None
+
+        def row(fold: bool) -> pa.RecordBatch:
+            ids, parts, texts = zip(*open_[fold])
+            raw = sizes[fold]
+            open_[fold], sizes[fold] = [], 0
+            columns = [pa.array([int(fold)]), pa.array([raw]), pa.array([list(ids)], pa.list_(kind)), pa.array([bytes(parts)]), pa.array([planes(np.array(list(map(len, texts)), "<u8"))]), pa.array([press.compress(b"".join(texts))])]
+            return pa.RecordBatch.from_arrays(columns, names=["of_fold", "raw", "ids", "parts", "sizes", "texts"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for i, text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                fold, raw = part == 1, utf8(text)
+                if open_[fold] and sizes[fold] + len(raw) > chunk_bytes:
+                    yield row(fold)
+                open_[fold].append((i, part, raw))
+                sizes[fold] += len(raw)
+        for fold in (True, False):
+            if open_[fold]:
+                yield row(fold)
+
+    return gather
+
+
+def _texts(sizes: bytes, texts: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(texts)
+    ends = np.cumsum(unplaned(sizes, "<u8")).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _ranges(keys: np.ndarray, bits: int, power: int) -> list[int]:
+def _ranges(keys: np.ndarray, power: int) -> list[int]:
     """Where each of 2 ** power equal key ranges starts in sorted keys, and the end."""
-    edges = [np.uint64(k << (bits - power)) for k in range(1, 1 << power)]
+    edges = [np.uint64(k << (64 - power)) for k in range(1, 1 << power)]
     return [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]
 
 
 def _ask(power: int):
-    def ask(key: tuple, table: pa.Table) -> pa.Table:
-        part = table.column("part").to_numpy()
-        chunk = Chunk.of(table.column("text").to_pylist())
-        role = np.repeat(part, chunk.lengths)
-        rows = []
-        for order, (keys, at, bits) in enumerate(((chunk.tokens, chunk.token_at, 64), (chunk.pairs, chunk.pair_at, PAIR_BITS))):
-            counts = [np.bincount(at[role == k], minlength=len(keys)).astype(np.uint32) for k in (0, 1)]
-            cuts = _ranges(keys, bits, power)
-            for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if b > a:
-                    base = np.uint64(r << (bits - power))
-                    steps = np.diff(keys[a:b] - base, prepend=np.uint64(0))
-                    rows.append((r + (order << power), key[0].as_py(), planes(steps), planes(counts[0][a:b]), planes(counts[1][a:b])))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=_ASKED.names)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                name, parts, sizes, texts = (batch.column(k)[r].as_py() for k in range(4))
+                chunk = Chunk.of(_texts(sizes, texts))
+                role = np.repeat(np.frombuffer(parts, np.uint8), chunk.lengths)
+                rows = []
+                for order, (keys, at) in enumerate(((chunk.tokens, chunk.token_at), (chunk.pairs, chunk.pair_at))):
+                    counts = [np.bincount(at[role == k], minlength=len(keys)).astype("<u4") for k in (0, 1)]
+                    cuts = _ranges(keys, power)
+                    for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        if b > a:
+                            steps = np.diff(keys[a:b] - np.uint64(r << (64 - power)), prepend=np.uint64(0))
+                            rows.append((r + (order << power), name, planes(steps), planes(counts[0][a:b]), planes(counts[1][a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=_ASKED.names)
 
     return ask
 
@@ -179,14 +230,17 @@ def _tell(power: int):
         sizes = np.cumsum([0, *map(len, keys)])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
-        totals = [np.bincount(at, np.concatenate([unplaned(x, "<u4") for x in table.column(name).to_pylist()]), len(distinct)).astype(np.uint64) for name in ("first", "fold")]
+        totals = [np.zeros(len(distinct), np.uint64) for _ in range(2)]
+        for total, name in zip(totals, ("first", "fold")):
+            for k, x in enumerate(table.column(name).to_pylist()):
+                total[at[sizes[k] : sizes[k + 1]]] += unplaned(x, "<u4")
         both = totals[0] + totals[1]
         tokens = table.column("range")[0].as_py() < 1 << power
         figures = (int(both.sum()), int((both > 0).sum()), int((totals[0] > 0).sum()), int(totals[0].sum())) if tokens else (0, 0, 0, 0)
         rows = []
         for k, (c, r) in enumerate(zip(table.column("chunk").to_pylist(), table.column("range").to_pylist())):
             own = at[sizes[k] : sizes[k + 1]]
-            rows.append((c, r, planes(totals[0][own].astype(np.uint32)), planes(totals[1][own].astype(np.uint32)), *(figures if k == 0 else (0, 0, 0, 0))))
+            rows.append((c, r, planes(totals[0][own]), planes(totals[1][own]), *(figures if k == 0 else (0, 0, 0, 0))))
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=_TOLD.names)
 
@@ -199,20 +253,24 @@ def _counts(chunk: Chunk, told: pa.Table, power: int, fold: bool) -> tuple[np.nd
     out = []
     for order, keys in enumerate((chunk.tokens, chunk.pairs)):
         own = [r for r in rows if r[0] >> power == order]
-        n = np.concatenate([unplaned(r[1], "<u4") for r in own] or [np.empty(0, np.uint32)]).astype(np.int64)
+        n = np.concatenate([unplaned(r[1], "<u8") for r in own] or [np.empty(0, np.uint64)]).astype(np.int64)
         if fold:
-            n += np.concatenate([unplaned(r[2], "<u4") for r in own] or [np.empty(0, np.uint32)])
+            n += np.concatenate([unplaned(r[2], "<u8") for r in own] or [np.empty(0, np.uint64)]).astype(np.int64)
         if len(n) != len(keys):
             raise ValueError("a chunk's counts don't fit its keys")
         out.append(n)
     return out[0], out[1]
 
 
+def _chunk_of(docs: pa.Table) -> Chunk:
+    return Chunk.of(_texts(docs.column("sizes")[0].as_py(), docs.column("texts")[0].as_py()))
+
+
 def _gather(power: int, n: int):
     def gather(docs: pa.Table, told: pa.Table) -> pa.Table:
         cells = np.empty((0, 4), np.int64)
         if len(docs):
-            chunk = Chunk.of(docs.column("text").to_pylist())
+            chunk = _chunk_of(docs)
             tokens, pairs = _counts(chunk, told, power, False)
             context = tokens[chunk.context_at]
             with np.errstate(divide="ignore"):
@@ -229,45 +287,51 @@ def _gather(power: int, n: int):
 
 def _score(power: int, model: Mixture):
     def score(docs: pa.Table, told: pa.Table) -> pa.Table:
+        names = ["id", *(f.name for f in _SCORES)]
+        kind = docs.schema.field("ids").type.value_type
         if not len(docs):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64())], names=SCORED.names)
-        chunk = Chunk.of(docs.column("text").to_pylist())
+            return pa.table([pa.array([], t) for t in (kind, pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64())], names=names)
+        chunk = _chunk_of(docs)
         tokens, pairs = _counts(chunk, told, power, True)
         c = tokens[chunk.token_at]
         starts = np.cumsum(chunk.lengths) - chunk.lengths
         base = np.add.reduceat(np.log10((c + 1) / (model.n + model.v + 1)), starts)
         own = np.add.reduceat(model.log10(pairs[chunk.pair_at], c, tokens[chunk.context_at]), starts)
         known = np.add.reduceat((c > 0).astype(np.int64), starts)
-        held = docs.column("part").to_numpy() == 2
-        n = len(docs)
-        return pa.table([docs.column("id"), pa.array(held), pa.array(chunk.lengths), pa.array(known), pa.array(np.full(n, model.n)), pa.array(base), pa.array(own)], names=SCORED.names)
+        held = np.frombuffer(docs.column("parts")[0].as_py(), np.uint8) == 2
+        ids = docs.column("ids").combine_chunks().flatten()
+        return pa.table([ids, pa.array(held), pa.array(chunk.lengths), pa.array(known), pa.array(np.full(len(ids), model.n)), pa.array(base), pa.array(own)], names=names)
 
     return score
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, fold: int = 3, chunk_bytes: int = 8 << 20) -> DataFrame:
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2, fold: int = 3, chunk_bytes: int = 8 << 20, range_bytes: int = 16 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Rows whose crc32 of the id modulo ``folds`` is ``held_out`` are not learnt
-    from; those where it is ``fold`` teach the mixture weights.
+    from; those where it is ``fold`` teach the mixture weights.  A task holds
+    one chunk or one key range, which is what ``range_bytes`` of text send; the
+    blocks exchanged are chunks times ranges, so larger executors should take
+    larger ones.
     """
     name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     rest = F.pmod(F.crc32(name), F.lit(folds))
     part = F.when(rest == held_out, 2).when(rest == fold, 1).otherwise(0)
-    docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), part.cast("int").alias("part"))
-    size = df.select(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first().n or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    power = max(0, (chunks - 1).bit_length())
-    small = -(-chunks // folds)
-    dealt = F.xxhash64("id", "text")
-    chunk = F.when(F.col("part") == 1, chunks + F.pmod(dealt, F.lit(small))).otherwise(F.pmod(dealt, F.lit(chunks)))
-    docs = docs.withColumn("chunk", chunk)
-    asked = docs.groupBy("chunk").applyInArrow(_ask(power), _ASKED)
+    docs = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), part.cast("int").alias("part"))
+    kind = df.schema[key].dataType
+    gathered = T.StructType([T.StructField("of_fold", T.LongType()), T.StructField("raw", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(n, T.BinaryType()) for n in ("parts", "sizes", "texts"))])
+    # A chunk's number is even or, of the fold, odd.
+    chunks = cut(docs.mapInArrow(_gathered(chunk_bytes), gathered).withColumn("chunk", 2 * F.monotonically_increasing_id() + F.col("of_fold")), "chunks")
+    size = chunks.agg(F.sum("raw").alias("n")).first().n or 0
+    power = max(0, -(-size // range_bytes) - 1).bit_length()
+    asked = chunks.select("chunk", "parts", "sizes", "texts").mapInArrow(_ask(power), _ASKED)
     told = cut(asked.groupBy("range").applyInArrow(_tell(power), _TOLD), "told")
     sums = told.agg(*[F.sum(c).alias(c) for c in ("n", "v", "v_main", "n_main")]).first()
     answers = told.select("chunk", "range", "main", "fold")
-    cells = docs.filter("part = 1").groupBy("chunk").cogroup(answers.filter(F.col("chunk") >= chunks).groupBy("chunk")).applyInArrow(_gather(power, sums.n_main or 0), _CELLS)
+    of_fold = chunks.filter("of_fold = 1").select("chunk", "sizes", "texts").groupBy("chunk")
+    cells = of_fold.cogroup(answers.filter(F.col("chunk") % 2 == 1).groupBy("chunk")).applyInArrow(_gather(power, sums.n_main or 0), _CELLS)
     found = cells.groupBy("b", "p2", "p1").agg(F.sum("n").alias("n")).collect()
     weights = expectation_maximisation(np.array([tuple(r) for r in found], np.int64).reshape(-1, 4), sums.v_main or 0)
     model = Mixture(sums.n or 0, sums.v or 0, weights)
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(power, model), SCORED)
+    own = chunks.select("chunk", "ids", "parts", "sizes", "texts").groupBy("chunk")
+    return own.cogroup(answers.groupBy("chunk")).applyInArrow(_score(power, model), T.StructType([T.StructField("id", kind), *_SCORES]))

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import lm as L
@@ -67,7 +68,28 @@ def test_query_against_brute_force(spark):
 @pytest.mark.parametrize("chunk_bytes", [200, 5000])
 def test_chunks_make_no_difference(spark, chunk_bytes):
     docs = [(k, " ".join(f"w{(k * j) % 17}" for j in range(k % 23))) for k in range(150)]
-    close(L.score(spark.createDataFrame(docs, "doc_id long, text string"), chunk_bytes=chunk_bytes).collect(), brute(docs))
+    close(L.score(spark.createDataFrame(docs, "doc_id long, text string"), chunk_bytes=chunk_bytes, range_bytes=2 * chunk_bytes).collect(), brute(docs))
+
+
+def test_ids_of_any_type(spark):
+    got = L.score(spark.createDataFrame([("a1", "x y"), ("b", "x"), (None, "y")], "doc_id string, text string"))
+    assert sorted((r.id or "", r.n_tokens) for r in got.collect()) == [("", 2), ("a1", 3), ("b", 2)]
+
+
+def test_counts_beyond_32_bits():
+    """A range's totals are summed and sent back as 64-bit numbers, and scored as such."""
+    keys, most = np.array([5, 9], np.uint64), np.array([2**32 - 1, 7], "<u4")
+    rows = [(0, c, L.planes(np.diff(keys, prepend=np.uint64(0))), L.planes(most), L.planes(most)) for c in range(3)]
+    told = L._tell(0)(pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=L._ASKED.names))
+    assert told.column("n").to_pylist() == [6 * (2**32 - 1) + 42, 0, 0]
+    assert L.unplaned(told.column("main")[0].as_py(), "<u8").tolist() == [3 * (2**32 - 1), 21]
+    chunk = L.Chunk(*[np.zeros(0)] * 2, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0))
+    chunk.tokens, chunk.pairs = keys, np.empty(0, np.uint64)
+    one = told.slice(0, 1)
+    assert L._counts(chunk, one, 0, True)[0].tolist() == [6 * (2**32 - 1), 42]
+    model = L.Mixture(6 * (2**32 - 1) + 42, 2)
+    p = 10 ** model.log10(np.array([6 * (2**32 - 1)]), np.array([6 * (2**32 - 1)]), np.array([6 * (2**32 - 1)]))
+    assert p[0] == pytest.approx(0.6 + 0.3 + 0.1 / 3, rel=1e-6)
 
 
 def test_held_out_text_is_scored_better_than_by_the_base(spark):
