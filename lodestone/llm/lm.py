@@ -52,13 +52,13 @@ NEVER = -(1 << 20)
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Little-endian bytes of an array, grouped by significance, which compresses well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """Little-endian bytes of an array, grouped by significance, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def unplaned(data: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    plain = zstandard.ZstdDecompressor().decompress(data)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 class _Known(dict):
@@ -229,6 +229,7 @@ def _tell(power: int):
         keys = [np.cumsum(unplaned(x, "<u8"), dtype=np.uint64) for x in table.column("keys").to_pylist()]
         sizes = np.cumsum([0, *map(len, keys)])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        at = at.astype(np.int32)
         del keys
         totals = [np.zeros(len(distinct), np.uint64) for _ in range(2)]
         for total, name in zip(totals, ("first", "fold")):
