@@ -105,12 +105,12 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"WITH {_TERMS} SELECT term, doc_id, count(*) AS tf FROM t WHERE term <> '' GROUP BY term, doc_id")
 def term_frequency(spark, sf_dir):
-    return I.term_frequencies(I.postings(_analyzed(spark, sf_dir)))
+    return I.term_frequencies(I.nested_postings(_analyzed(spark, sf_dir)))
 
 
 @query(f"WITH {_TERMS} SELECT term, count(DISTINCT doc_id) AS df FROM t WHERE term <> '' GROUP BY term")
 def document_frequency(spark, sf_dir):
-    return I.document_frequencies(I.postings(_analyzed(spark, sf_dir)))
+    return I.document_frequencies(I.nested_postings(_analyzed(spark, sf_dir)))
 
 
 @query(f"WITH {_TOKENS}, h AS (SELECT doc_id % 2 AS half, sum(len(a)) AS s, count(*) AS n FROM tok GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_docs, round(sum(s) / sum(n), 6) AS avg_dl FROM h")

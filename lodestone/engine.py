@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from .streaming.incremental import index_new
 class Engine:
     """Crawl, index and search under one base path (any file system Spark knows)."""
 
-    def __init__(self, spark: SparkSession, path: str, fetch: Fetcher | None = None, analyzer: Analyzer = Analyzer(), params: RankerParams = RankerParams(), modes: Modes = Modes(), tlds: list[str] | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, fetch: Fetcher | None = None, analyzer: Analyzer = Analyzer(), params: RankerParams = RankerParams(), modes: Modes = Modes(), tlds: list[str] | None = None, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self.store = Store(spark, self.path)
         self.index = StoredIndex(spark, f"{self.path}/index", analyzer, buckets)
@@ -30,6 +31,7 @@ class Engine:
         self.params, self.modes = params, modes
         self.tlds = tlds
         self._crawler: Crawler | None = None
+        self._tag = f"lodestone-index-{uuid.uuid4().hex}"
 
     def search(self, query: str, accuracy: float = 0.5, limit: int = 100) -> DataFrame:
         """(doc_id, title, content, url, score), best first."""
@@ -54,16 +56,28 @@ class Engine:
     def index_documents(self, clear: bool = False) -> int:
         """Index what is not yet indexed (after ``clear``: everything); the number of documents."""
         if clear:
-            self.index.clear()
-            self.store.clear("processed")
-        last = self.index.doc_stats().agg(F.max("batch")).first()[0]
-        return index_new(self.store, self.index, 0 if last is None else last + 1)
+            self.clear_index()
+        context = self.spark.sparkContext
+        context.addJobTag(self._tag)
+        try:
+            return index_new(self.store, self.index)
+        finally:
+            context.removeJobTag(self._tag)
 
     def terminate_index(self, clear: bool = False) -> None:
-        self.spark.sparkContext.cancelAllJobs()
+        """Cancel this engine's indexing jobs, and no others."""
+        self.spark.sparkContext.cancelJobsWithTag(self._tag)
         if clear:
-            self.index.clear()
-            self.store.clear("processed")
+            self.clear_index()
+
+    def clear_index(self) -> None:
+        self.index.clear()
+        self.store.clear("processed")
+
+    def compact(self) -> None:
+        """Make one index batch of all and delete what no longer counts; for when no search is running."""
+        self.index.compact()
+        self.index.vacuum()
 
     def crawl_and_index(self, seeds: list[str] | DataFrame, max_pages: int, clear: bool = False) -> tuple[int, int]:
         return self.crawl(seeds, max_pages, clear), self.index_documents(clear)

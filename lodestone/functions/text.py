@@ -10,13 +10,29 @@ from pyspark.sql import functions as F
 #: A token: ASCII word characters, apostrophes and hyphens inside.  It equals
 #: a word-boundary pattern whose boundaries know ASCII letters only.
 TOKEN = r"[A-Za-z0-9_](?:[A-Za-z0-9_'-]*[A-Za-z0-9_])?"
+#: The same without backtracking, in Java's form.
+_TOKEN = r"[A-Za-z0-9_]++(?:['-]++[A-Za-z0-9_]++)*+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
 def tokenize(c: Column) -> Column:
     """Array of tokens; null is taken as empty."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_TOKEN), F.lit(0))
+
+
+def terms(c: Column) -> Column:
+    """``normalize_token`` of each of ``tokenize``, made on the text as a whole.
+
+    Normalising deletes apostrophes, hyphens and underscores.  Without the
+    first two a token is a run of word characters; only then, when nothing but
+    ASCII is left, is it lower-cased, and underscores go last, since a token of
+    them alone is an empty term with a place of its own.
+    """
+    plain = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("'"), F.lit("")), F.lit("-"), F.lit(""))
+    runs = F.lower(F.btrim(F.regexp_replace(plain, "[^A-Za-z0-9_]++", "\n"), F.lit("\n")))
+    found = F.split(F.replace(runs, F.lit("_"), F.lit("")), "\n", -1)
+    return F.when(runs == "", F.array().cast("array<string>")).otherwise(found)
 
 
 def normalize(c: Column) -> Column:

@@ -1,17 +1,19 @@
 """Positional inverted index and corpus statistics.
 
 Two access paths give the same frames.  ``ScanIndex`` analyses documents on the
-fly: word positions of a query are found inside each document's token array,
+fly: word positions of a query are found inside each document's term array,
 with no shuffle at all.  ``StoredIndex`` keeps one row per (term, document) in
 hash buckets sorted by term, so a query reads the buckets and row groups of its
-terms only.
+terms only, and only of documents that hold one of them.
 
 Statistics are kept as sums (documents, tokens), which add up over batches.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.stemmer import stem, stem_tokens
+from ..sources.files import Files
 
 
 @dataclass(frozen=True)
@@ -29,8 +32,8 @@ class Analyzer:
     stop_words: tuple[str, ...] = ()
     valid_only: bool = False
 
-    def terms(self, tokens: Column) -> Column:
-        out = F.transform(tokens, X.normalize_token)
+    def terms(self, text: Column) -> Column:
+        out = X.terms(text)
         if self.stop_words:
             out = F.transform(out, lambda t: F.when(X.is_stop_word(t, list(self.stop_words)), "").otherwise(t))
         if self.valid_only:
@@ -48,8 +51,8 @@ class Analyzer:
 def analyze(docs: DataFrame, analyzer: Analyzer = Analyzer(), doc_id: str = "doc_id", title: str | None = None, content: str = "text") -> DataFrame:
     """(doc_id, dl, terms): dl counts all tokens, also those whose term is empty."""
     text = X.document_text(F.col(title) if title else F.lit(""), F.col(content))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), X.tokenize(text).alias("tokens"))
-    return rows.select("doc_id", F.size("tokens").alias("dl"), analyzer.terms(F.col("tokens")).alias("terms"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), analyzer.terms(text).alias("terms"))
+    return rows.select("doc_id", F.size("terms").alias("dl"), "terms")
 
 
 def postings(analyzed: DataFrame) -> DataFrame:
@@ -58,8 +61,20 @@ def postings(analyzed: DataFrame) -> DataFrame:
 
 
 def nested_postings(analyzed: DataFrame) -> DataFrame:
-    """(term, doc_id, positions)."""
-    return postings(analyzed).groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(term, doc_id, dl, positions), grouped inside each document's row, without a shuffle.
+
+    The document's (term, position) pairs are sorted; a term's positions are
+    the slice between where it begins and where the next one does.
+    """
+    pairs = F.filter(F.transform("terms", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x.t != "")
+    held = analyzed.filter("doc_id is not null").select("doc_id", "dl", F.sort_array(pairs).alias("s"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(F.col("s.t"), 1, F.greatest(F.size("s") - 1, F.lit(0))))
+    border = F.zip_with(F.col("s.t"), before, lambda t, b: ~t.eqNullSafe(b))
+    begins = F.filter(F.transform(border, lambda new, i: F.when(new, i + 1)), lambda i: i.isNotNull())
+    cuts = held.filter("size(s) > 0").select("doc_id", "dl", "s", begins.alias("b"))
+    ends = F.concat(F.slice("b", 2, F.size("b")), F.array(F.size("s") + 1))
+    rows = cuts.select("doc_id", "dl", F.col("s.t").alias("t"), F.col("s.i").alias("p"), F.explode(F.arrays_zip(F.col("b").alias("a"), ends.alias("e"))).alias("r"))
+    return rows.select(F.element_at("t", F.col("r.a")).alias("term"), "doc_id", "dl", F.slice("p", F.col("r.a"), F.col("r.e") - F.col("r.a")).alias("positions"))
 
 
 def doc_stats(analyzed: DataFrame) -> DataFrame:
@@ -72,17 +87,21 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
     return stats.agg(n.alias("n_docs"), s.alias("sum_dl")).withColumn("avg_dl", F.when(F.col("n_docs") > 0, F.col("sum_dl") / F.col("n_docs")).otherwise(0.0))
 
 
-def term_frequencies(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+def term_frequencies(nested: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of nested postings."""
+    return nested.select("term", "doc_id", F.size("positions").cast("long").alias("tf"))
 
 
-def document_frequencies(posts: DataFrame) -> DataFrame:
-    return term_frequencies(posts).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequencies(nested: DataFrame) -> DataFrame:
+    """(term, df) of nested postings of distinct documents."""
+    return nested.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 class ScanIndex:
     """An index over analysed documents that is never written."""
 
+    stored = False
+
     def __init__(self, docs: DataFrame, analyzer: Analyzer = Analyzer(stem=False), doc_id: str = "doc_id", title: str | None = None, content: str = "text"):
         self.analyzer = analyzer
         self.docs = docs
@@ -97,6 +116,11 @@ class ScanIndex:
         each = [F.transform(F.filter("hits", _is(w)), lambda x: x.i).alias(f"p{k}") for k, w in enumerate(words)]
         return slim.select("doc_id", "dl", *each)
 
+    def hits(self, words: list[str]) -> DataFrame:
+        """``positions`` of the documents that hold one of the words."""
+        found = self.positions(words)
+        return found.filter(" or ".join(f"size(p{k}) > 0" for k in range(len(words))) if words else "false")
+
 
 def _is(word: str):
     return lambda x: x.t == word
@@ -106,62 +130,190 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-POSTING = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("batch", T.LongType())])
-DOC_STAT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("dl", T.IntegerType()), T.StructField("batch", T.LongType())])
+def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
-class StoredIndex:
-    """An index under ``path``: ``postings`` by bucket, ``doc_stats`` and ``batches``.
+_ID, _DL, _ATTEMPT = ("doc_id", T.LongType()), ("dl", T.IntegerType()), ("attempt", T.StringType())
+POSTING = _schema(("term", T.StringType()), _ID, _DL, ("positions", T.ArrayType(T.IntegerType())), _ATTEMPT, ("bucket", T.IntegerType()))
+DOC_STAT = _schema(_ID, _DL, _ATTEMPT)
+REPLACED = _schema(_ID, _DL, ("old", T.StringType()), _ATTEMPT)
+
 
-    A batch that is written again (a retried micro-batch) replaces its own
-    files only, since every table is partitioned by batch.
+@dataclass(frozen=True)
+class Batch:
+    """A batch as the manifest lists it: what it holds, and what it replaced in earlier ones."""
+
+    name: str
+    attempt: str
+    buckets: int
+    docs: int
+    tokens: int
+    replaced: int = 0
+
+
+class StoredIndex:
+    """An index under ``path``: ``postings`` by bucket, ``doc_stats``, ``replaced`` and the manifest.
+
+    Every write of a batch goes to folders of its own (an attempt); then a new
+    manifest, which lists the attempts that count, is put in place by one
+    rename.  So a write that dies leaves nothing behind that is read, a batch
+    written again under its name replaces all it held before, and two writers
+    can't both succeed from the same state.  Of a document in several batches
+    the batch committed last wins: each batch stores which rows of other ones
+    it replaces.  ``compact`` makes one batch of all, ``vacuum`` deletes the
+    folders that no longer count.  Ids are unique within a batch.
     """
 
-    def __init__(self, spark: SparkSession, path: str, analyzer: Analyzer = Analyzer(), buckets: int = 64):
-        self.spark, self.path, self.analyzer, self.buckets = spark, path.rstrip("/"), analyzer, buckets
+    stored = True
 
-    def _write(self, df: DataFrame, table: str, *parts: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *parts).parquet(f"{self.path}/{table}")
+    def __init__(self, spark: SparkSession, path: str, analyzer: Analyzer = Analyzer(), buckets: int | None = None, bucket_bytes: int = 64 << 20):
+        self.spark, self.path, self.analyzer, self.buckets, self.bucket_bytes = spark, path.rstrip("/"), analyzer, buckets, bucket_bytes
+        self.files = Files(spark, self.path)
 
-    def _read(self, table: str, schema: T.StructType) -> DataFrame:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{table}")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return self.spark.createDataFrame([], schema)
-            raise
+    # the manifest ---------------------------------------------------------------
 
-    def add(self, docs: DataFrame, batch: int, doc_id: str = "doc_id", title: str | None = None, content: str = "text", spread: int = 8) -> None:
-        """Index ``docs`` as batch ``batch``.
+    def _latest(self) -> tuple[int, list[Batch]]:
+        versions = sorted(n for n in self.files.names("manifest") if n.endswith(".json"))
+        if not versions:
+            return 0, []
+        return int(versions[-1].removesuffix(".json")), [Batch(**b) for b in json.loads(self.files.read(f"manifest/{versions[-1]}"))]
 
-        One shuffle: rows go by (bucket, salt of the document), which is finer
-        than a bucket, so that a frequent term is never one task's, and the
-        grouping by (term, document) below needs no other.
-        """
-        rows = analyze(docs, self.analyzer, doc_id, title, content).filter("doc_id is not null")
-        salted = postings(rows).withColumn("bucket", bucket_of(F.col("term"), self.buckets)).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(spread)))
-        grouped = salted.repartition("bucket", "salt").groupBy("bucket", "salt", "term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-        out = grouped.sortWithinPartitions("bucket", "term", "doc_id").select("term", F.col("doc_id").cast("long").alias("doc_id"), "positions", F.lit(batch).cast("long").alias("batch"), "bucket")
-        self._write(out, "postings", "bucket")
-        self._write(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "dl", F.lit(batch).cast("long").alias("batch")), "doc_stats")
+    def batches(self) -> list[Batch]:
+        """In the order of their commits."""
+        return self._latest()[1]
 
-    def clear(self) -> None:
-        for table, schema in (("postings", POSTING), ("doc_stats", DOC_STAT)):
-            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/{table}")
+    def _commit(self, version: int, batches: list[Batch]) -> None:
+        """Put the next manifest in place; fails if another writer did so since ``version`` was read."""
+        self.files.write_new(f"manifest/{version + 1:012d}.json", json.dumps([asdict(b) for b in batches]))
+        for name in self.files.names("manifest"):
+            if name.endswith(".json") and int(name.removesuffix(".json")) < version:
+                self.files.delete(f"manifest/{name}")
+
+    # reading ----------------------------------------------------------------------
+
+    def _read(self, table: str, schema: T.StructType, batches: list[Batch]) -> DataFrame:
+        where = [f"{table}/attempt={b.attempt}" for b in batches]
+        where = [f"{self.path}/{w}" for w in where if self.files.exists(w)]
+        if not where:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*where)
+
+    def _live(self, rows: DataFrame, batches: list[Batch]) -> DataFrame:
+        """Without what later batches replaced."""
+        newer = [b for b in batches if b.replaced]
+        if not newer:
+            return rows
+        dead = self._read("replaced", REPLACED, newer).select("doc_id", F.col("old").alias("attempt"))
+        return rows.join(dead, ["doc_id", "attempt"], "left_anti")
 
     def postings(self) -> DataFrame:
-        return self._read("postings", T.StructType([*POSTING.fields, T.StructField("bucket", T.IntegerType())]))
+        """(term, doc_id, dl, positions, attempt, bucket)."""
+        batches = self.batches()
+        return self._live(self._read("postings", POSTING, batches), batches).select(*POSTING.names)
 
     def doc_stats(self) -> DataFrame:
-        return self._read("doc_stats", DOC_STAT)
+        """(doc_id, dl, attempt)."""
+        batches = self.batches()
+        return self._live(self._read("doc_stats", DOC_STAT, batches), batches).select(*DOC_STAT.names)
+
+    def totals(self) -> tuple[int, int]:
+        """Documents and tokens: from the manifest or, where batches replaced documents, from doc_stats."""
+        batches = self.batches()
+        if any(b.replaced for b in batches):
+            sums = corpus_stats(self.doc_stats()).first()
+            return sums.n_docs, sums.sum_dl
+        return sum(b.docs for b in batches), sum(b.tokens for b in batches)
+
+    def hits(self, words: list[str]) -> DataFrame:
+        """(doc_id, dl, p0, p1, ...) of the documents that hold one of the words, reading the words' buckets only."""
+        batches = self.batches()
+        none = F.array().cast("array<int>")
+        sizes = {b.buckets for b in batches}
+        if not words or not sizes:
+            empty = _schema(_ID, _DL, *((f"p{k}", T.ArrayType(T.IntegerType())) for k in range(len(words))))
+            return self.spark.createDataFrame([], empty)
+        own = self.spark.range(1).select(*[F.array(*[bucket_of(F.lit(w), n) for w in words]).alias(str(n)) for n in sizes]).first()
+        found = self._read("postings", POSTING, batches)
+        read = F.lit(False)
+        for n in sizes:
+            at = F.col("bucket").isin(sorted(set(own[str(n)])))
+            read = read | (at if len(sizes) == 1 else at & F.col("attempt").isin([b.attempt for b in batches if b.buckets == n]))
+        found = self._live(found.filter(read & F.col("term").isin(words)), batches)
+        if len(words) == 1:
+            return found.select("doc_id", "dl", F.col("positions").alias("p0"))
+        each = [F.coalesce(F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True), none).alias(f"p{k}") for k, w in enumerate(words)]
+        return found.groupBy("doc_id").agg(F.first("dl").alias("dl"), *each)
 
     def positions(self, words: list[str]) -> DataFrame:
-        """As ScanIndex.positions, reading the words' buckets only."""
+        """As ScanIndex.positions: every document a row."""
         stats = self.doc_stats().select("doc_id", "dl")
         if not words:
             return stats
-        buckets = sorted(set(self.spark.sql("SELECT 1").select(*[bucket_of(F.lit(w), self.buckets) for w in words]).first()))
-        found = self.postings().filter(F.col("bucket").isin(buckets) & F.col("term").isin(words))
-        each = [F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"p{k}") for k, w in enumerate(words)]
-        rows = stats.join(found.groupBy("doc_id").agg(*each), "doc_id", "left")
+        rows = stats.join(self.hits(words).drop("dl"), "doc_id", "left")
         return rows.select("doc_id", "dl", *[F.coalesce(f"p{k}", F.array().cast("array<int>")).alias(f"p{k}") for k in range(len(words))])
+
+    # writing ----------------------------------------------------------------------
+
+    def _write(self, df: DataFrame, table: str, attempt: str, *parts: str) -> None:
+        df.write.partitionBy(*parts).parquet(f"{self.path}/{table}/attempt={attempt}")
+
+    def _put(self, nested: DataFrame, size: int) -> tuple[str, int]:
+        """Write nested postings of about ``size`` bytes of text as a new attempt; its name and number of buckets.
+
+        One shuffle, by (bucket, salt of the document), so that a frequent
+        term is never one task's.
+        """
+        attempt = "a" + uuid.uuid4().hex
+        tasks = max(1, -(-size // self.bucket_bytes))
+        buckets = self.buckets or max(1, -(-tasks // 8))
+        salts = max(1, -(-tasks // buckets))
+        rows = nested.withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts)))
+        rows = rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "term", "doc_id")
+        self._write(rows.select("term", F.col("doc_id").cast("long").alias("doc_id"), "dl", "positions", "bucket"), "postings", attempt, "bucket")
+        return attempt, buckets
+
+    def add(self, docs: DataFrame, batch: int | str, doc_id: str = "doc_id", title: str | None = None, content: str = "text") -> Batch:
+        """Index ``docs`` as batch ``batch``, in place of what that batch held and of older versions of its documents."""
+        version, batches = self._latest()
+        rows = analyze(docs, self.analyzer, doc_id, title, content).filter("doc_id is not null")
+        size = docs.select(F.sum(F.octet_length(F.col(content).cast("string")))).first()[0] or 0
+        attempt, buckets = self._put(nested_postings(rows), size)
+        self._write(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "dl"), "doc_stats", attempt)
+        others = [b for b in batches if b.name != str(batch)]
+        new = Batch(str(batch), attempt, buckets, 0, 0)
+        own = self._read("doc_stats", DOC_STAT, [new])
+        n = 0
+        if others:
+            older = self._read("doc_stats", DOC_STAT, others).withColumnRenamed("attempt", "old")
+            self._write(older.join(own.select("doc_id"), "doc_id", "left_semi").select("doc_id", "dl", "old"), "replaced", attempt)
+            n = self._read("replaced", REPLACED, [new]).count()
+        sums = corpus_stats(own).first()
+        new = replace(new, docs=sums.n_docs, tokens=sums.sum_dl, replaced=n)
+        self._commit(version, [*others, new])
+        return new
+
+    def compact(self, name: str = "compacted") -> Batch | None:
+        """Make one batch of all that counts."""
+        version, batches = self._latest()
+        if not batches:
+            return None
+        stats, posts = self.doc_stats().select("doc_id", "dl"), self.postings().select("term", "doc_id", "dl", "positions")
+        n, tokens = self.totals()
+        attempt, buckets = self._put(posts, 6 * tokens)
+        self._write(stats, "doc_stats", attempt)
+        new = Batch(name, attempt, buckets, n, tokens)
+        self._commit(version, [new])
+        return new
+
+    def vacuum(self) -> int:
+        """Delete attempts that no longer count; their number.  For when no result that reads them and no writer is left."""
+        counted = {f"attempt={b.attempt}" for b in self.batches()}
+        gone = {(table, n) for table in ("postings", "doc_stats", "replaced") for n in self.files.names(table) if n.startswith("attempt=") and n not in counted}
+        for table, n in gone:
+            self.files.delete(f"{table}/{n}")
+        return len({n for _, n in gone})
+
+    def clear(self) -> None:
+        self._commit(self._latest()[0], [])
+        self.vacuum()

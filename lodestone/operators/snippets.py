@@ -92,17 +92,17 @@ def stemmed_weights(weights: dict[str, int], words_of, mode: str = "compatible")
 def search(index, docs: DataFrame, text: str, accuracy: float = 0.5, limit: int = 100, params=None, modes=None, doc_id: str = "doc_id", title: str | None = None, content: str = "text", url: str | None = None) -> DataFrame:
     """Results with title, marked content, url and score."""
     from ..plans.query import Modes, parse
-    from ..plans.rank import RankerParams, Scores, accurate, top
+    from ..plans.rank import RankerParams, Scores, top
 
     params, modes = params or RankerParams(), modes or Modes()
     query = parse(text, modes)
     scores = Scores(index, query, params, modes)
-    best = top(accurate(scores.frame(), accuracy), limit, modes.order)
+    best = top(scores.frame(accuracy), limit, modes.order)
     head = F.col(title) if title else F.lit("")
     slim = docs.select(F.col(doc_id).alias("doc_id"), head.alias("title"), F.concat(F.coalesce(head, F.lit("")), F.coalesce(F.col(content), F.lit(""))).alias("body"), (F.col(url) if url else F.lit("")).alias("url"))
     rows = slim.join(F.broadcast(best) if limit <= 10_000 else best, "doc_id")
     ids = [r.doc_id for r in best.select("doc_id").collect()] if limit <= 1000 else None
-    hits = index.positions(scores.words)
+    hits = index.hits(scores.words)
     hits = hits.filter(F.col("doc_id").isin(ids)) if ids is not None else hits
     weights = stemmed_weights(query.weights, index.analyzer.words, modes.snippet)
     out = with_snippets(rows, hits, scores.words, weights, "body", modes.snippet)

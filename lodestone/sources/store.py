@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.html import PAGE
 from ..functions.text import quoted_strings
+from .files import Files
 
 #: Most ids that one look-up takes.
 LOOKUP_LIMIT = 100
@@ -22,27 +25,27 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, schemas: dict[str, T.StructType] | None = None):
         self.spark, self.path = spark, path.rstrip("/")
+        self.files = Files(spark, self.path)
         self.schemas = {"pages": STORED_PAGE, "visited": VISITED, "processed": T.StructType([T.StructField("doc_id", T.LongType())])} | (schemas or {})
 
     def location(self, table: str) -> str:
         return f"{self.path}/{table}"
 
-    def _files(self, table: str):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.location(table))
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
-
     def exists(self, table: str) -> bool:
-        fs, where = self._files(table)
-        return fs.exists(where)
+        """Whether the table is there; a table whose replacement was interrupted is put back first."""
+        if self.files.exists(table):
+            return True
+        old = sorted(n for n in self.files.names() if n.startswith(f"{table}.old-"))
+        if old:
+            self.files.rename(old[-1], table)
+        return bool(old)
 
     def ping(self) -> bool:
         """Whether the base path can be reached."""
-        fs, where = self._files("")
         try:
-            fs.exists(where)
+            self.files.exists()
             return True
-        except Exception:
+        except Py4JJavaError:
             return False
 
     def read(self, table: str) -> DataFrame:
@@ -61,16 +64,24 @@ class Store:
         self.overwrite(table, self.read(table).join(new.select(key), key, "left_anti").select(*names).unionByName(new))
 
     def overwrite(self, table: str, rows: DataFrame) -> None:
-        """Replace a table, also by rows made from it: they are written aside, then renamed."""
-        fs, where = self._files(table)
-        aside = f"{table}.{uuid.uuid4().hex}"
-        rows.select(*self.schemas[table].names).write.parquet(self.location(aside))
-        fs.delete(where, True)
-        fs.rename(self._files(aside)[1], where)
+        """Replace a table, also by rows made from it.
+
+        They are written aside; then the old table is renamed, the new one
+        takes its name, and the old one goes.  It is put back by ``exists``
+        where a run died between the renames.
+        """
+        mark = uuid.uuid4().hex
+        rows.select(*self.schemas[table].names).write.parquet(self.location(f"{table}.new-{mark}"))
+        held = self.exists(table)
+        if held:
+            self.files.rename(table, f"{table}.old-{mark}")
+        self.files.rename(f"{table}.new-{mark}", table)
+        if held:
+            self.files.delete(f"{table}.old-{mark}")
 
     def clear(self, table: str) -> None:
-        fs, where = self._files(table)
-        fs.delete(where, True)
+        if self.exists(table):
+            self.files.delete(table)
 
     def first(self, table: str, where: Column | None = None):
         """The first row, or None."""
@@ -88,7 +99,7 @@ class Store:
         """Rows that match; -1 where the table can't be read."""
         try:
             return self.scan(table, where).count()
-        except Exception:
+        except (PySparkException, Py4JJavaError):
             return -1
 
     def by_ids(self, table: str, ids: list, key: str = "doc_id", limit: int = LOOKUP_LIMIT) -> DataFrame:

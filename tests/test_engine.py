@@ -49,6 +49,40 @@ def test_crawl_index_search(engine):
     assert not urls(engine)
 
 
+def test_a_run_that_dies_before_marking_doubles_nothing(engine, monkeypatch):
+    engine.crawl(["https://a.com"], 10)
+
+    def killed(self, rows):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "mark_processed", killed)
+        with pytest.raises(RuntimeError):
+            engine.index_documents()
+    before = [(r["url"], r["score"]) for r in engine.search_json("york", 0.1)]
+    assert engine.statistics().first().n_docs == 4
+    assert engine.index_documents() == 4 and engine.statistics().first().n_docs == 4
+    assert [(r["url"], r["score"]) for r in engine.search_json("york", 0.1)] == before
+    engine.compact()
+    assert [(r["url"], r["score"]) for r in engine.search_json("york", 0.1)] == before
+
+
+def test_search_leaves_no_tables(engine):
+    from lodestone.sources.shared import drop_intermediate
+
+    engine.crawl_and_index(["https://a.com"], 10)
+    drop_intermediate(engine.spark)
+    assert engine.search_json('york not "news"', 0.0)
+    assert drop_intermediate(engine.spark) == 0
+
+
+def test_an_interrupted_replacement_is_put_back(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), {"t": spark.createDataFrame([], "doc_id long").schema})
+    store.insert("t", spark.range(3).withColumnRenamed("id", "doc_id"))
+    store.files.rename("t", "t.old-1")
+    assert store.count("t") == 3
+
+
 def test_page_limit(engine):
     assert engine.crawl(["https://a.com"], 2) == 2 == len(urls(engine))
     assert engine.crawl_and_index(["https://b.org/x"], 5, clear=True) == (1, 1)

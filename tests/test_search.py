@@ -60,6 +60,107 @@ def test_stored_index_gives_the_same(spark, docs, tmp_path):
     assert index.postings().count() == 0 == corpus_stats(index.doc_stats()).first().n_docs
 
 
+def held(index):
+    stats = {r.doc_id: r.dl for r in index.doc_stats().collect()}
+    posts = sorted((r.term, r.doc_id, r.dl, tuple(r.positions)) for r in index.postings().collect())
+    return stats, posts
+
+
+def expected(rows):
+    """The index of (doc_id, text) rows, from plain Python."""
+    out = {}
+    for i, text in rows:
+        for p, w in enumerate(text.split()):
+            out.setdefault((w, i), []).append(p)
+    return {i: len(t.split()) for i, t in rows}, sorted((w, i, len(dict(rows)[i].split()), tuple(p)) for (w, i), p in out.items())
+
+
+def frame(spark, *rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_the_last_version_of_a_document_counts(spark, tmp_path):
+    index = StoredIndex(spark, str(tmp_path), Analyzer(stem=False))
+    index.add(frame(spark, (1, "old words here"), (2, "b c")), "x")
+    index.add(frame(spark, (1, "new words"), (3, "c c d")), "y")
+    now = [(1, "new words"), (2, "b c"), (3, "c c d")]
+    assert held(index) == expected(now) and index.totals() == (3, 7)
+    assert scores(index, "old") == [0, 0, 0] and scores(index, "words") == [1, 0, 0]
+    index.add(frame(spark, (1, "newest")), "z")
+    index.add(frame(spark, (4, "d")), "y")  # "y" no longer holds documents 1 and 3
+    now = [(1, "newest"), (2, "b c"), (4, "d")]
+    assert held(index) == expected(now) and index.totals() == (3, 4)
+    index.add(frame(spark, (2, "e")), "z")  # nor "z" document 1: the version in "x" is the last one again
+    now = [(1, "old words here"), (2, "e"), (4, "d")]
+    assert held(index) == expected(now) and index.totals() == (3, 5)
+    before = scores(index, "words e")
+    assert index.compact().docs == 3 and index.vacuum() == 5
+    assert held(index) == expected(now) and index.totals() == (3, 5) and scores(index, "words e") == before
+
+
+@pytest.mark.parametrize("dies_at", ["postings", "doc_stats", "replaced", "manifest"])
+def test_a_write_that_dies_leaves_nothing(spark, tmp_path, monkeypatch, dies_at):
+    index = StoredIndex(spark, str(tmp_path), Analyzer(stem=False))
+    index.add(frame(spark, (1, "a b"), (2, "b")), 0)
+    whole, write, commit = held(index), StoredIndex._write, StoredIndex._commit
+
+    def failing(self, df, table, *more):
+        write(self, df, table, *more)
+        if table == dies_at:
+            raise RuntimeError("killed")
+
+    def no_commit(self, *args):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(StoredIndex, "_write", failing)
+        if dies_at == "manifest":
+            m.setattr(StoredIndex, "_commit", no_commit)
+        with pytest.raises(RuntimeError):
+            index.add(frame(spark, (2, "c"), (3, "d")), 1)
+    assert held(index) == whole and index.totals() == (2, 3)
+    index.add(frame(spark, (2, "c"), (3, "d")), 1)
+    assert held(index) == expected([(1, "a b"), (2, "c"), (3, "d")])
+    assert commit is StoredIndex._commit and index.vacuum() == 1
+
+
+def test_two_writers_cannot_both_commit(spark, tmp_path):
+    one, two = (StoredIndex(spark, str(tmp_path), Analyzer(stem=False)) for _ in range(2))
+    one.add(frame(spark, (1, "a")), 0)
+    version, batches = two._latest()
+    one.add(frame(spark, (2, "b")), 1)
+    with pytest.raises(Exception, match="(?i)exist"):
+        two._commit(version, batches)
+    assert one.totals() == (2, 2)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet="aB9_'- \n.é\u0130\u212a", max_size=30), min_size=1, max_size=20))
+def test_terms_are_normalised_tokens(spark, texts):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import text as X
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, t string")
+    for r in df.select("t", X.terms(F.col("t")).alias("terms"), X.tokenize(F.col("t")).alias("tokens")).collect():
+        import re
+
+        assert r.tokens == re.findall(X.TOKEN, r.t or "")
+        assert r.terms == [X.normalize_py(w) for w in r.tokens]
+
+
+def test_nested_postings(spark):
+    from lodestone.operators.index import analyze, nested_postings, postings
+
+    df = frame(spark, (1, "b a _ b"), (2, ""), (3, None), (None, "a"), (4, "_ _"), (5, "z"), (5, "z"))
+    rows = analyze(df, Analyzer(stem=False))
+    flat = sorted((r.term, r.doc_id, r.pos) for r in postings(rows).collect())
+    assert flat == [("a", 1, 1), ("b", 1, 0), ("b", 1, 3), ("z", 5, 0), ("z", 5, 0)]
+    nested = sorted((r.term, r.doc_id, r.dl, r.positions) for r in nested_postings(rows).collect())
+    assert nested == [("a", 1, 4, [1]), ("b", 1, 4, [0, 3]), ("z", 5, 1, [0]), ("z", 5, 1, [0])]
+    assert "Exchange" not in nested_postings(rows)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_corpus_and_nulls(spark, docs):
     assert rank(ScanIndex(docs.limit(0)), 'a "b"').count() == 0
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "new"), (3, "new")], "doc_id long, text string")
