@@ -433,13 +433,30 @@ def page_document(spark, sf_dir):
     return H.page_documents(_pages(spark, sf_dir)).drop("links")
 
 
-@query()
+_HUB = "https://hub.example.com"
+
+
+@query(
+    f"""WITH RECURSIVE {_LINKS},
+w AS (SELECT url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages
+  UNION ALL SELECT '{_HUB}/n' || page_id, 'hub ' || page_id FROM pages UNION ALL SELECT '{_HUB}', 'hub'),
+e AS (SELECT url, target FROM n WHERE {_sql_absolute('target')}
+  UNION ALL SELECT '{_HUB}', '{_HUB}/n0'
+  UNION ALL SELECT '{_HUB}/n' || page_id, '{_HUB}/n' || (10 * page_id + j) FROM pages, (SELECT unnest(range(1, 11)) AS j)
+  UNION ALL SELECT '{_HUB}/n' || page_id, {_sql_normal('url')} FROM pages WHERE {_sql_absolute(_sql_normal('url'))}),
+reached(url) AS (SELECT '{_HUB}' UNION SELECT e.target FROM reached JOIN e USING (url) WHERE e.target <> '{_HUB}/n7' AND e.target IN (SELECT url FROM w))
+SELECT url, replace(replace(replace(replace(title, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS title FROM reached JOIN w USING (url)"""
+)
 def crawl_bfs(spark, sf_dir):
-    """Pages reached from every page of the table, crawled without the network."""
+    """Crawled from one seed, robots kept: a tree of hub pages, ten below each, each with a link to a page of the table; the robots file forbids one hub."""
     pages = _pages(spark, sf_dir)
+    k = F.col("page_id")
+    below = F.concat(*[F.format_string('<a href="/n%d">x</a>', 10 * k + j) for j in range(1, 11)])
+    hubs = pages.select(F.format_string(f"{_HUB}/n%d", k).alias("url"), F.concat(F.format_string("<title>hub %d</title>", k), below, F.lit('<a href="'), "url", F.lit('">p</a>')).alias("html"))
+    start = spark.createDataFrame([(_HUB, '<title>hub</title><a href="/n0">0</a>'), (f"{_HUB}/robots.txt", "User-agent: *\nDisallow: /n7\n")], "url string, html string")
+    web = pages.select("url", "html").unionByName(hubs).unionByName(start)
     store = Store(spark, _spread(spark, "crawl"))
-    crawler = C.Crawler(spark, store, table_fetcher(pages), TLDS, max_pages=pages.count(), robots_mode="compatible")
-    crawler.run(pages.select("url"))
+    C.Crawler(spark, store, table_fetcher(web), TLDS, max_pages=2 * pages.count() + 1).run([_HUB])
     return store.read("pages").select("url", "title")
 
 

@@ -42,10 +42,10 @@ class Engine:
     def search_json(self, query: str, accuracy: float = 0.5) -> list[dict]:
         return [{k: r[k] for k in ("title", "content", "url", "score")} for r in self.search(query, accuracy).collect()]
 
-    def crawl(self, seeds: list[str] | DataFrame, max_pages: int, clear: bool = False) -> int:
+    def crawl(self, seeds: list[str] | DataFrame, max_pages: int, clear: bool = False, resume: bool = False) -> int:
         self.tlds = self.tlds or top_level_domains(self.spark)
         self._crawler = Crawler(self.spark, self.store, self.fetch, self.tlds, max_pages)
-        return self._crawler.run(seeds, clear)
+        return self._crawler.run(seeds, clear, resume)
 
     def terminate_crawl(self, clear: bool = False) -> None:
         if self._crawler:
@@ -75,7 +75,9 @@ class Engine:
         self.store.clear("processed")
 
     def compact(self) -> None:
-        """Make one index batch of all and delete what no longer counts; for when no search is running."""
+        """Make one index batch of all, few files of each table, and delete what no longer counts; for when no search or crawl is running."""
+        for table in ("pages", "visited", "processed"):
+            self.store.compact(table)
         self.index.compact()
         self.index.vacuum()
 
@@ -83,8 +85,8 @@ class Engine:
         return self.crawl(seeds, max_pages, clear), self.index_documents(clear)
 
     def clear_crawl_history(self) -> None:
-        self.store.clear("pages")
-        self.store.clear("visited")
+        for table in ("pages", "visited", "frontier"):
+            self.store.clear(table)
 
     def set_ranker_parameters(self, **values: float) -> RankerParams:
         """k1, b, phrase_boost, exact_match_weight."""

@@ -26,6 +26,10 @@ class Crawler:
     next round.  When all of a level were tried, the links of its pages make
     the next one.  URLs are told apart by themselves, not by a hash, and a page
     is stored once however many links lead to it.
+
+    What is found but not yet tried is a table of the store, ``frontier``,
+    after each round.  A crawl that was stopped, came to its limit or died goes
+    on from there if run with ``resume``.
     """
 
     spark: SparkSession
@@ -51,13 +55,18 @@ class Crawler:
         paths = texts.select("base", F.explode(robots_disallowed(F.col("html"), self.robots_mode)).alias("path"))
         return paths.select(U.to_absolute(F.col("path"), F.col("base"), self.tlds, self.tld_mode).alias("url")).filter("url is not null").distinct()
 
-    def run(self, seeds: list[str] | DataFrame, clear: bool = False) -> int:
-        """Crawl from ``seeds``; the number of pages stored."""
+    def run(self, seeds: list[str] | DataFrame, clear: bool = False, resume: bool = False) -> int:
+        """Crawl from ``seeds`` and, to ``resume``, what earlier crawls left untried; the number of pages stored."""
         if clear:
-            self.store.clear("pages")
-            self.store.clear("visited")
-        frontier, stored, rounds = cut(self.seeds(seeds).filter("url is not null"), "frontier"), 0, 0
+            self.clear()
+        start = self.seeds(seeds)
+        if resume:
+            # a run may have died between storing pages and noting them as visited
+            self.store.save_visited(self.store.read("pages").select("url"))
+            start = start.unionByName(self.store.read("frontier")).distinct()
+        frontier, stored, rounds = cut(start.filter("url is not null"), "frontier"), 0, 0
         failed = frontier.limit(0)
+        self.store.overwrite("frontier", frontier)
         while not self.ended(stored, rounds):
             visited = self.store.read("visited").select("url")
             todo = frontier.join(visited, "url", "left_anti").join(failed, "url", "left_anti")
@@ -78,17 +87,22 @@ class Crawler:
                 got = page_documents(self.fetch(batch).filter("html <> ''"))
                 pages = cut(got.orderBy("url").limit(wanted) if most > wanted else got, "pages")
                 n = pages.count()
+                if n:
+                    found.append(cut(self.next_frontier(pages), "frontier"))
+                # first what is left to do, with the batch itself, so that nothing is lost whenever a run dies
+                self.store.overwrite("frontier", reduce(DataFrame.unionByName, found, rest).distinct())
                 if n:
                     self.store.insert("pages", stored_pages(pages))
                     self.store.save_visited(pages.select("url"))
                     stored += n
-                    found.append(cut(self.next_frontier(pages), "frontier"))
                 tried, had = tried + size, had + n
+                rest = cut(rest.join(batch, "url", "left_anti"), "rest")
                 if size < most:
                     break
                 # Where most fetches fail, the last few pages would else take a round each.
                 spread = 2 * spread if 2 * n < min(size, wanted) else 1
-                rest = cut(rest.join(batch, "url", "left_anti"), "rest")
+            left = reduce(DataFrame.unionByName, found, rest).distinct().join(self.store.read("visited").select("url"), "url", "left_anti")
+            self.store.overwrite("frontier", left)
             if not found:
                 break
             if had < tried:
@@ -106,8 +120,11 @@ class Crawler:
     def terminate(self, clear: bool = False) -> None:
         self.stop.set()
         if clear:
-            self.store.clear("pages")
-            self.store.clear("visited")
+            self.clear()
+
+    def clear(self) -> None:
+        for table in ("pages", "visited", "frontier"):
+            self.store.clear(table)
 
 
 def links_of(pages: DataFrame, tlds: list[str], tld_mode: str = "compatible") -> DataFrame:

@@ -52,6 +52,8 @@ def answer(engine: Engine, method: str, target: str, body: str = "") -> tuple[in
                 return 404, kind, json.dumps({"error": "no such route"})
     except (KeyError, TypeError, ValueError, QuerySyntaxError) as e:
         return 404, kind, json.dumps({"error": f"{type(e).__name__}: {e}"})
+    except Exception as e:  # a job that failed is answered too
+        return 500, kind, json.dumps({"error": f"{type(e).__name__}: {str(e)[:500]}"})
     return 200, kind, json.dumps({"status": "done"})
 
 

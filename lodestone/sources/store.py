@@ -26,7 +26,7 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, schemas: dict[str, T.StructType] | None = None):
         self.spark, self.path = spark, path.rstrip("/")
         self.files = Files(spark, self.path)
-        self.schemas = {"pages": STORED_PAGE, "visited": VISITED, "processed": T.StructType([T.StructField("doc_id", T.LongType())])} | (schemas or {})
+        self.schemas = {"pages": STORED_PAGE, "visited": VISITED, "processed": T.StructType([T.StructField("doc_id", T.LongType())]), "frontier": T.StructType([T.StructField("url", T.StringType())])} | (schemas or {})
 
     def location(self, table: str) -> str:
         return f"{self.path}/{table}"
@@ -79,6 +79,11 @@ class Store:
         if held:
             self.files.delete(f"{table}.old-{mark}")
 
+    def compact(self, table: str, rows_per_file: int = 1_000_000) -> None:
+        """The same rows in few files, after many small inserts."""
+        rows = self.read(table)
+        self.overwrite(table, rows.repartition(max(1, -(-rows.count() // rows_per_file))))
+
     def clear(self, table: str) -> None:
         if self.exists(table):
             self.files.delete(table)

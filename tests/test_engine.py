@@ -112,6 +112,44 @@ def test_frontier_limit_loses_nothing(spark, tmp_path):
     assert crawler.run(["https://a.com"]) == 8 == store.count("pages")
 
 
+@pytest.mark.parametrize("dies_in", [None, "insert", "save_visited", "overwrite"])
+def test_a_crawl_goes_on_where_it_ended(spark, tmp_path, monkeypatch, dies_in):
+    """A chain of pages with side pages: limited, or killed after each kind of write in its second round."""
+    known = [(f"https://a.com/{k}", f'<a href="/{k + 1}">n</a><a href="/x{k}">s</a>') for k in range(4)] + [(f"https://a.com/x{k}", "x") for k in range(3)]
+    fetch = table_fetcher(spark.createDataFrame(known, "url string, html string"))
+
+    def crawler(limit):
+        return Crawler(spark, Store(spark, str(tmp_path / "s")), fetch, ["COM"], max_pages=limit)
+
+    if dies_in is None:
+        assert crawler(2).run(["https://a.com/0"]) == 2
+    else:
+        whole, calls = getattr(Store, dies_in), []
+
+        def killed(self, *args):
+            whole(self, *args)
+            calls.append(args)
+            if len(calls) > 2:
+                raise RuntimeError("killed")
+
+        with monkeypatch.context() as m:
+            m.setattr(Store, dies_in, killed)
+            with pytest.raises(RuntimeError):
+                crawler(100).run(["https://a.com/0"])
+    crawler(100).run([], resume=True)
+    store = Store(spark, str(tmp_path / "s"))
+    found = [r.url for r in store.read("pages").collect()]
+    assert sorted(found) == sorted(u for u, _ in known)
+    store.compact("pages")
+    assert store.count("pages") == len(known)
+
+
+def test_a_failing_job_is_answered(engine, monkeypatch):
+    monkeypatch.setattr(Engine, "index_documents", lambda self, clear=False: 1 / 0)
+    status, _, text = answer(engine, "POST", "/indexDocuments", "{}")
+    assert status == 500 and "ZeroDivisionError" in text
+
+
 def test_routes(engine):
     def call(method, target, **body):
         status, _, text = answer(engine, method, target, json.dumps(body))
