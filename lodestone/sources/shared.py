@@ -17,11 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``.
 
     Where it is unset, as in local tests, one temporary folder of the driver
-    serves, since driver and executors are one machine then.
+    serves, since driver and executors are one machine then; with any other
+    master that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="lodestone-"))
         atexit.register(shutil.rmtree, _local[0], True)

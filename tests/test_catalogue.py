@@ -22,6 +22,17 @@ def test_entry_without_the_corpus_subpackage():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lodestone.sources.shared import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"), conf=conf)
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(cluster)
+
+
 def test_nothing_else_imports_the_corpus_subpackage():
     import pathlib
 
