@@ -13,8 +13,8 @@ into one row: turns are encoded before the shuffle, and the sorted stream is
 assembled turn by turn with only the running sums in memory.
 
 Defined results: a null text or role is empty; turns are ordered by turn
-(null first), ties by role, then tokens; a null conversation id is one
-conversation; repeated rows are turns of their own; an empty table gives an
+(null first), ties by role, then tokens; conversation ids may be of any type
+that has an order, and a null one is one conversation; repeated rows are turns of their own; an empty table gives an
 empty result; further columns are ignored.
 """
 
@@ -60,6 +60,12 @@ DIGESTS = T.StructType([T.StructField(n, T.LongType()) for n in ("conv_id", "n_t
 _INTS = pa.list_(pa.int32())
 
 
+def _of(schema: T.StructType, kind: T.DataType) -> T.StructType:
+    """The schema with the conversation's id of that type."""
+    return T.StructType([T.StructField("conv_id", kind), *schema.fields[1:]])
+
+
+
 def _encode(batches: Iterator[pa.RecordBatch], paths: tuple) -> Iterator[pa.RecordBatch]:
     bpe = ByteBpe(*paths)
     for batch in batches:
@@ -92,10 +98,11 @@ def _assemble(batches: Iterator[pa.RecordBatch], learns: str) -> Iterator[pa.Rec
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learns: str = "assistant", tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
     """Formatted turns, in order within their conversations, each conversation in one partition."""
-    slim = df.select(F.col(f"`{conv}`").cast("long"), F.col(f"`{turn}`").cast("long"), F.col(f"`{role}`").cast("string"), F.col(f"`{text}`").cast("string"))
-    encoded = slim.mapInArrow(lambda it: _encode(it, (tokenizer, ranks)), _ENCODED)
+    kind = df.schema[conv].dataType
+    slim = df.select(F.col(f"`{conv}`"), F.col(f"`{turn}`").cast("long"), F.col(f"`{role}`").cast("string"), F.col(f"`{text}`").cast("string"))
+    encoded = slim.mapInArrow(lambda it: _encode(it, (tokenizer, ranks)), _of(_ENCODED, kind))
     dealt = encoded.repartition(shuffle_partitions(df.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
-    return dealt.mapInArrow(lambda it: _assemble(it, learns), FORMATTED)
+    return dealt.mapInArrow(lambda it: _assemble(it, learns), _of(FORMATTED, kind))
 
 
 class Reader:
@@ -125,14 +132,15 @@ class Reader:
 
 
 def _read(batches: Iterator[pa.RecordBatch], paths: tuple) -> Iterator[pa.RecordBatch]:
-    bpe, now, reader = ByteBpe(*paths), ..., None
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    bpe, now, reader, kind = ByteBpe(*paths), ..., None, None
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
+        types = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=DIGESTS.names)
 
     for batch in batches:
         get = [batch.column(batch.schema.get_field_index(n)) for n in FORMATTED.names]
+        kind = get[0].type
         offsets, values = get[2].offsets.to_numpy(), get[2].values.to_numpy(zero_copy_only=False)
         rows = []
         for k, (conv, start, a, b) in enumerate(zip(*(get[i].to_pylist() for i in (0, 3, 4, 5)))):
@@ -148,7 +156,7 @@ def _read(batches: Iterator[pa.RecordBatch], paths: tuple) -> Iterator[pa.Record
 
 def digests(formatted: DataFrame, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
     """What formatted conversations hold, read back from tokens and masks; the turns must come as they were formatted."""
-    return formatted.mapInArrow(lambda it: _read(it, (tokenizer, ranks)), DIGESTS)
+    return formatted.mapInArrow(lambda it: _read(it, (tokenizer, ranks)), _of(DIGESTS, formatted.schema["conv_id"].dataType))
 
 
 def oracle(table: str) -> str:

@@ -13,8 +13,8 @@ one per range partition.
 
 Defined results: a null text has size 0; a null source is a source, last in
 order; documents of size 0 take nothing; repeated rows are taken each by
-itself; a null id orders before all others; an empty table gives an empty
-result.
+itself; ids may be of any type that has an order, and a null one comes before
+all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,21 +56,31 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2)
     return out
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, slice_rows: int = 5000, broadcast_sources: int = 20_000) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for stored rows (doc_id, source, size)."""
+def shuffled(seed: int) -> Column:
+    """The place of ``doc_id`` in the shuffled order."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+
+
+def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, slice_rows: int = 5000, broadcast_sources: int = 20_000, most_sources: int = 1_000_000) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for stored rows (doc_id, source, size).
+
+    More than ``most_sources`` sources are an error: they are the components of
+    a mixture, and the driver sees them all.
+    """
     spark = sized.sparkSession
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(most_sources + 1).collect()
+    if len(by_source) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     sizes = {r.source: r["size"] for r in by_source}
     goal = targets(sizes, weights, share, most)
     rows = sum(r.n for r in by_source)
     digits = max(0, min(6, math.ceil(math.log(rows / slice_rows, 16)))) if rows > slice_rows else 0
     schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("sid", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     known = spark.createDataFrame([(s, k, sizes[s], float(goal[s])) for k, s in enumerate(goal)], schema)
-    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
     if len(goal) <= broadcast_sources:
         known = F.broadcast(known)
     docs = sized.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    docs = docs.withColumn("h", shuffled).withColumn("slice", F.substring("h", 1, digits))
+    docs = docs.withColumn("h", shuffled(seed)).withColumn("slice", F.substring("h", 1, digits))
     before = Window.partitionBy("sid").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = docs.groupBy("sid", "slice").agg(F.sum("size").alias("n"))
     first = sums.select("sid", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -79,7 +89,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     def position(k: int) -> Column:
         finish = (F.col("upto") + k * F.col("source_size")).cast("double") / F.col("target")
-        return F.struct(finish.alias("finish"), F.col("h"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.lit(k).alias("k"))
+        return F.struct(finish.alias("finish"), F.col("h"), F.col("doc_id").alias("id"), F.lit(k).alias("k"))
 
     real = queued.filter("target > 0 and size > 0")
     passes = None
@@ -101,32 +111,49 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     if last is None and whole is not None:
         last = ranged.filter(F.col("part") == whole).agg(F.max("at").alias("at")).first().at
     if last is not None:
-        limit = F.struct(F.lit(last.finish).cast("double"), F.lit(last.h), F.lit(last.id).cast("long"), F.lit(last.k).cast("int"))
+        limit = F.struct(F.lit(last.finish).cast("double"), F.lit(last.h), F.lit(last.id).cast(sized.schema["doc_id"].dataType), F.lit(last.k).cast("int"))
         taken = sum((F.when((F.col("target") > 0) & (position(k) <= limit), F.col("size")).otherwise(0) for k in range(most)), taken)
     return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def sizes_of(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    return cut(df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), n_words(text).alias("size")), "sizes")
+    return cut(df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), n_words(text).alias("size")), "sizes")
 
 
-def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+def mixed_documents(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, broadcast_sources: int = 20_000, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its columns.
 
-    Rows alike in id, source and size are told apart only by how many of them
-    are taken once, twice and so on.
+    In its source's shuffled order a pass takes the documents up to some place,
+    so what the documents have to be joined with is one place per source and
+    pass, and no text is shuffled.  Only rows that have the very id and size of
+    such a place, of which the mix takes but some, are told apart by a hash.
     """
     most = how.get("most", 2)
-    decided = mix(sizes_of(df, key, source, text), **how)
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    alike = decided.withColumn("times", times).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("n"))
-    at_least = alike.agg(*[F.sum((F.col("times") >= k).cast("long")).alias(f"least{k}") for k in range(1, most + 1)])
-    rows = packed(df, key=F.col(f"`{key}`").cast("long"), source=F.col(f"`{source}`").cast("string"), size=n_words(text))
-    same = F.col("key").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("n"))
-    nth = F.row_number().over(Window.partitionBy("id", "of", "n").orderBy(F.xxhash64("row")))
-    joined = rows.join(at_least, same).withColumn("nth", nth)
-    copies = joined.withColumn("copies", sum((F.when(F.col("nth") <= F.col(f"least{k}"), 1).otherwise(0) for k in range(1, most + 1)), F.lit(0)))
-    return unpacked(copies.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    decided = cut(mix(sizes_of(df, key, source, text), seed=seed, broadcast_sources=broadcast_sources, **how), "decided")
+    here = F.struct(shuffled(seed).alias("h"), F.col("doc_id").alias("id"), F.col("size").alias("n"))
+    passes = decided.filter("size > 0").withColumn("times", (F.col("taken") / F.col("size")).cast("int")).withColumn("at", here)
+    last = [F.max(F.when(F.col("times") > k, F.col("at"))).alias(f"last{k}") for k in range(most)]
+    ends = cut(passes.groupBy("source").agg(*last), "ends")
+    n = ends.count()
+    hint = F.broadcast if n <= broadcast_sources else lambda x: x
+    on_end = passes.join(hint(ends.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+    counts = [F.sum((F.col("at").eqNullSafe(F.col(f"last{k}")) & (F.col("times") > k)).cast("long")).alias(f"some{k}") for k in range(most)]
+    counts += [F.sum(F.col("at").eqNullSafe(F.col(f"last{k}")).cast("long")).alias(f"all{k}") for k in range(most)]
+    some = cut(on_end.groupBy("source").agg(*counts).withColumnRenamed("source", "t"), "some")
+    bounds = ends.join(some, F.col("source").eqNullSafe(F.col("t"))).drop("t").withColumnRenamed("source", "s")
+    rows = packed(df, doc_id=F.col(f"`{key}`"), source=F.col(f"`{source}`").cast("string"), size=n_words(text)).filter("size > 0").withColumn("at", here)
+    joined = rows.join(hint(bounds), F.col("source").eqNullSafe(F.col("s")))
+    split = [F.col("at").eqNullSafe(F.col(f"last{k}")) & (F.col(f"some{k}") < F.col(f"all{k}")) for k in range(most)]
+    unclear = split[0]
+    for c in split[1:]:
+        unclear = unclear | c
+    clear = sum((F.when(F.col("at") <= F.col(f"last{k}"), 1).otherwise(0) for k in range(most)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("s", "at").orderBy(F.xxhash64("row")))
+    told = sum((F.when(F.when(c, F.col("nth") <= F.col(f"some{k}")).otherwise(F.col("at") <= F.col(f"last{k}")), 1).otherwise(0) for k, c in enumerate(split)), F.lit(0))
+    out = joined.filter(~unclear).select("row", clear.alias("copies"))
+    if not some.filter(" or ".join(f"some{k} < all{k}" for k in range(most))).isEmpty():
+        out = out.unionByName(joined.filter(unclear).withColumn("nth", nth).select("row", told.alias("copies")))
+    return unpacked(out.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def oracle(weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7) -> str:

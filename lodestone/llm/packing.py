@@ -10,7 +10,7 @@ among the pieces of its length.  Ranks are counted in salted groups, so that a
 length that many documents share is no larger a group than any other.
 
 Defined results: a null text counts as empty (its piece holds the end id
-alone); repeated rows are pieces of their own; null ids are passed through;
+alone); repeated rows are pieces of their own; ids may be of any type or null;
 an empty table gives an empty result.
 """
 
@@ -32,8 +32,8 @@ from .tokens import ByteBpe
 #: A sequence layout: ((length, how many), ...) in order of place, and the number of sequences laid out so.
 Layout = tuple[tuple[tuple[int, int], ...], int]
 
-_PIECES = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")), T.StructField("piece", T.IntegerType())])
-_PLACED = T.StructType([*_PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+_PIECE = [*(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")), T.StructField("piece", T.IntegerType()), T.StructField("salt", T.LongType())]
+_NAMES = ("doc_id", "start", "length", "ids_crc32", "piece")
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -167,14 +167,18 @@ def slots(layouts: list[Layout]) -> np.ndarray:
 
 def _cut_up(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int, paths: tuple) -> Iterator[pa.RecordBatch]:
     bpe = ByteBpe(*paths)
+    salt = 0
     for batch in batches:
         out: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = np.append(bpe.encode(text), np.uint32(end_id)).astype("<u4", copy=False)
             for k, (a, b) in enumerate(piece_bounds(len(ids), capacity)):
-                out.append((doc_id, a, b - a, zlib.crc32(ids[a:b].tobytes()), k))
-        columns = list(zip(*out)) if out else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 4 else pa.int64()) for k, c in enumerate(columns)], names=_PIECES.names)
+                crc = zlib.crc32(ids[a:b].tobytes())
+                salt = (salt * 31 + crc + 1) % (1 << 40)
+                out.append((doc_id, a, b - a, crc, k, salt))
+        columns = list(zip(*out)) if out else [()] * 6
+        types = [batch.column(0).type, *[pa.int64()] * 3, pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[*_NAMES, "salt"])
 
 
 def _place(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
@@ -185,20 +189,25 @@ def _place(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]
         rank = batch.column(batch.schema.get_field_index("rank")).to_numpy(zero_copy_only=False)
         row = t[np.searchsorted(keys, (length << 44) + rank, side="right") - 1]
         nth = rank - row[:, 1]
-        kept = [batch.column(batch.schema.get_field_index(n)) for n in _PIECES.names]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(row[:, 2] + nth // row[:, 3]), pa.array(row[:, 4] + nth % row[:, 3] * length)], names=_PLACED.names)
+        kept = [batch.column(batch.schema.get_field_index(n)) for n in _NAMES]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(row[:, 2] + nth // row[:, 3]), pa.array(row[:, 4] + nth % row[:, 3] * length)], names=[*_NAMES, "sequence_id", "offset"])
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32."""
-    slim = df.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string"))
-    return slim.mapInArrow(lambda it: _cut_up(it, capacity, end_id, (tokenizer, ranks)), _PIECES)
+    """A row per piece: doc_id, piece, start, length, ids_crc32, and a salt that differs also between repeated rows."""
+    slim = df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string"))
+    return slim.mapInArrow(lambda it: _cut_up(it, capacity, end_id, (tokenizer, ranks)), T.StructType([T.StructField("doc_id", df.schema[key].dataType), *_PIECE]))
 
 
-def place(cut_up: DataFrame, capacity: int = 2048) -> DataFrame:
-    """``cut_up`` with sequence_id and offset; it must be a stored table, since it is read three times."""
+def place(cut_up: DataFrame, capacity: int = 2048, group_rows: int = 1_000_000) -> DataFrame:
+    """``cut_up`` with sequence_id and offset; it must be a stored table, since it is read three times.
+
+    Pieces of one length are ranked in groups by salt, as many as the shuffle
+    has partitions or, for more rows, of about ``group_rows``.
+    """
     spark = cut_up.sparkSession
-    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shuffle_partitions(spark))))
+    groups = max(shuffle_partitions(spark), -(-cut_up.count() // group_rows))
+    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(groups)))
     counts = cut(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
     layouts = solve({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -206,7 +215,8 @@ def place(cut_up: DataFrame, capacity: int = 2048) -> DataFrame:
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.join(first, ["length", "salt"]).withColumn("rank", F.col("first") + F.row_number().over(within) - 1)
     table = spark.sparkContext.broadcast(slots(layouts))
-    return ranked.select(*_PIECES.names, "rank").mapInArrow(lambda it: _place(it, table), _PLACED)
+    schema = T.StructType([cut_up.schema[n] for n in _NAMES] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.select(*_NAMES, "rank").mapInArrow(lambda it: _place(it, table), schema)
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:

@@ -17,8 +17,9 @@ each linked set leaves it, never all pairs.
 
 Defined results: a null or blank text has fingerprint 0, linked like any
 other; fewer words than a shingle: the whole sequence is one shingle; repeated
-rows are rows of their own; a null id is passed through and never is a class
-id (the class id is null if no member has an id); empty table: empty result.
+rows are rows of their own; ids may be of any type that has an order; a null
+id is passed through and never is a class id (the class id is null if no
+member has an id); empty table: empty result.
 """
 
 from __future__ import annotations
@@ -72,8 +73,8 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
     """(id, fp) of every row; fp is the fingerprint as a signed long."""
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())])
-    return df.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")).mapInArrow(lambda it: _fingerprinted(it, size), schema)
+    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("fp", T.LongType())])
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(lambda it: _fingerprinted(it, size), schema)
 
 
 def covering_masks(positions: list[int], radius: int) -> list[int]:
@@ -172,38 +173,55 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3, block: int = 4096) -> DataFrame:
-    """(id, fp, component_id, class_fp) of every row of ``df``; class_fp, the least fingerprint, tells classes apart."""
+def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3, block: int = 4096, hot_share: float = 0.001) -> DataFrame:
+    """(id, fp, component_id, class_fp) of every row of ``df``; class_fp, the least fingerprint, tells classes apart.
+
+    Rows meet their class by fingerprint; those of fingerprints with more than
+    ``hot_share`` of all rows, fewer than its inverse in number, by broadcast.
+    """
     fps = cut(fingerprints(df, key, text, size), "fingerprints")
-    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
+    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "distinct")
     labels = cut(components(links(distinct, radius, block)), "labels")
     named = labels.join(distinct.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     linked = named.join(least, "label").select(F.col("node").alias("fp"), "component_id", "label", F.lit(True).alias("linked"))
-    classes = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"), F.coalesce("label", "fp").alias("class_fp"))
-    return fps.join(classes, "fp")
+    classes = distinct.join(linked, "fp", "left").select("fp", "rows", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"), F.coalesce("label", "fp").alias("class_fp"))
+    classes = cut(classes, "classes")
+    most = hot_share * (distinct.agg(F.sum("rows")).first()[0] or 0)
+    hot, cold = (classes.filter(c).drop("rows") for c in (F.col("rows") > most, F.col("rows") <= most))
+    one = fps.join(F.broadcast(hot), "fp")
+    return one.unionByName(fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp"))
 
 
 def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3) -> DataFrame:
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, a stored table, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 3, broadcast_ids: int = 1_000_000) -> DataFrame:
     """One document of each class: the one with the least id (of rows that share it, the least fingerprint's, then by a hash of the row).
 
-    Rows without an id can't be named by a class and all stay.
+    Rows without an id can't be named by a class and all stay.  What is joined
+    to the documents are the ids that go, not those that stay; up to
+    ``broadcast_ids`` of them are broadcast, so that no text is shuffled.
     """
-    classes = near_duplicate_classes(df, key, text, size, radius)
-    first = classes.filter("id = component_id").groupBy("class_fp").agg(F.min("id").alias("id"), F.min("fp").alias("fp"))
-    counts = classes.filter("id is not null").groupBy("id").agg((F.count(F.lit(1)) > 1).alias("shared"))
-    keep = cut(first.select("id", "fp").join(counts, "id"), "keep")
-    rows = packed(df, key=F.col(f"`{key}`").cast("long"), t=F.col(f"`{text}`").cast("string"))
-    out = rows.join(keep.filter("not shared").select("id"), F.col("key") == F.col("id")).select("row")
-    shared = keep.filter("shared").select("id", "fp")
+    classes = near_duplicate_classes(df, key, text, size, radius).filter("id is not null")
+    first = F.col("id") == F.col("component_id")
+    each = classes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(first).alias("stays"))
+    gone = cut(each.filter("n > 1 or not stays"), "gone")
+    rows = packed(df, key=F.col(f"`{key}`"), t=F.col(f"`{text}`").cast("string"))
+    out = rows.join(_small(gone.select("id"), broadcast_ids), F.col("key") == F.col("id"), "left_anti").select("row")
+    shared = gone.filter("n > 1")
     if not shared.isEmpty():
         # An id doesn't tell these rows apart, so their fingerprints are taken again.
+        heads = classes.filter(first).groupBy("class_fp").agg(F.min("id").alias("id"), F.min("fp").alias("fp")).select("id", "fp")
+        heads = cut(heads.join(shared.select("id"), "id", "left_semi"), "heads")
         print_of = F.udf(lambda x: signed(fingerprint(x, size)), "long")
-        ours = rows.join(shared.select("id").distinct(), F.col("key") == F.col("id")).select("row", "id", print_of("t").alias("fp"))
+        ours = rows.join(_small(shared.select("id"), broadcast_ids), F.col("key") == F.col("id")).select("row", "id", print_of("t").alias("fp"))
         nth = F.row_number().over(Window.partitionBy("id", "fp").orderBy(F.xxhash64("row")))
-        out = out.unionByName(ours.join(shared, ["id", "fp"]).withColumn("nth", nth).filter("nth = 1").select("row"))
-    return unpacked(out).unionByName(df.filter(F.col(f"`{key}`").isNull()))
+        out = out.unionByName(ours.join(heads, ["id", "fp"]).withColumn("nth", nth).filter("nth = 1").select("row"))
+    return unpacked(out)

@@ -13,7 +13,7 @@ in any order, so words are counted one by one and remembered.  Both are
 checked on the vocabulary; otherwise whole texts are counted in one go.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows
-are counted each; null ids are passed through; an empty table gives an empty
+are counted each; ids may be of any type or null; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -33,7 +33,7 @@ from .tokens import public
 
 SPACE = "\u2581"
 UNKNOWN_PENALTY = 10.0
-COUNTED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
+_COUNTS = [T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())]
 
 
 class Counter:
@@ -123,9 +123,10 @@ def _count(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.R
     each = counter(path)
     for batch in batches:
         found = [each.count(x) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=COUNTED.names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["id", "n_tokens", "score"])
 
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, n_tokens, score) of every row."""
-    return df.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")).mapInArrow(lambda it: _count(it, vocabulary), COUNTED)
+    schema = T.StructType([T.StructField("id", df.schema[key].dataType), *_COUNTS])
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(lambda it: _count(it, vocabulary), schema)

@@ -1,8 +1,10 @@
+import subprocess
+import sys
 from collections import Counter
 
 import corpus_pipeline as C
 from lodestone.llm import mixing, pii, quality
-from tests.conftest import SMALL
+from tests.conftest import ROOT, SMALL
 from tests.llm.test_packing import checked
 from tests.llm.test_simhash import brute_classes, brute_fingerprint
 
@@ -63,3 +65,9 @@ def test_empty_and_odd_input(spark):
                 assert docs.columns == COLUMNS
                 docs = docs.cache()
         docs.count()
+
+
+def test_entry_does_not_hide_a_missing_dependency():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    got = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert got.returncode and "xxhash" in got.stderr
