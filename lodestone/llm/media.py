@@ -6,21 +6,28 @@ term (quantised by 8, so that it is the value itself).  The DC code table gives
 category s a code of 9 - s bits, so that code and extra bits make 9 bits for
 any difference; together with the one-bit end of block a sample takes 10 bits
 at a known place.  Any baseline decoder can read such frames; the decoder here
-does so with array operations where the tables have that property, and by the
-general Huffman and inverse cosine way where they don't.
-
-Frames are indexed in ``idx1``; reading goes by that index.  Shots are found
-from differences between neighbouring frames' histograms against a threshold
-that adapts to the differences around.
-
-Defined results: a null is an empty text or payload (one frame of padding);
-repeated rows are stored each by itself; equal payloads give equal files;
-an empty table gives an empty result; a damaged file raises ValueError.
+does so with array operations where the tables have that property.  All other
+baseline motion-JPEG is decoded by the general Huffman and inverse cosine way:
+grey or colour with any sampling, restart intervals, and the default code
+tables where a frame brings none.
+
+Frames are indexed in ``idx1``, by offsets from the frame list or from the
+file's beginning; reading goes by that index or, where there is none, by
+walking the list and its ``rec `` parts.  A frame of no bytes repeats the one
+before.  Shots are found from differences between neighbouring frames'
+histograms of brightness against a threshold that adapts to the differences
+around; padding is not counted.
+
+Defined results: a null text is an empty one (one frame of padding); repeated
+rows are stored each by itself; equal payloads give equal files; ids may be of
+any type; an empty table gives an empty result; a null, damaged or unsupported
+file is a row with null results and an ``error``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -120,31 +127,77 @@ def frames_coded(samples: np.ndarray) -> list[bytes]:
     return [HEAD + row.tobytes().replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for row in rows]
 
 
+#: The default code tables of T.81, annex K.3: codes by length, symbols in order.
+DEFAULT_TABLES = {
+    0x00: (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12))),
+    0x01: (bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), bytes(range(12))),
+    0x10: (
+        bytes([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125]),
+        bytes.fromhex(
+            "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16 17 18 19 1a 25 26 27 28 29 2a 34 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 83 84 85 86 87 88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e1 e2 e3 e4 e5 e6 e7 e8 e9 ea f1 f2 f3 f4 f5 f6 f7 f8 f9 fa"
+        ),
+    ),
+    0x11: (
+        bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]),
+        bytes.fromhex(
+            "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1 17 18 19 1a 26 27 28 29 2a 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 82 83 84 85 86 87 88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e2 e3 e4 e5 e6 e7 e8 e9 ea f2 f3 f4 f5 f6 f7 f8 f9 fa"
+        ),
+    ),
+}
+
+#: A code table as (symbol, code, bits) rows.
+Table = tuple[tuple[int, int, int], ...]
+
+
+def _table(counts: bytes, symbols: bytes) -> Table:
+    return tuple((s, c, b) for s, (c, b) in canonical(list(counts), list(symbols)).items())
+
+
+@dataclass(frozen=True)
+class Component:
+    """One colour plane: samples per unit across and down, and its tables."""
+
+    across: int
+    down: int
+    quant: tuple[int, ...]
+    dc: Table
+    ac: Table
+
+
 @dataclass(frozen=True)
 class Head:
     width: int
     height: int
-    quant: tuple[int, ...]
-    dc: tuple[tuple[int, int, int], ...]
-    ac: tuple[tuple[int, int, int], ...]
+    parts: tuple[Component, ...]
+    restart: int
     size: int
 
     @property
     def flat(self) -> bool:
         """Whether every sample takes 10 bits at a known place."""
         own = parse_head(HEAD)
-        return (self.dc, self.ac) == (own.dc, own.ac) and self.quant[0] == 8
+        return len(self.parts) == 1 and (self.parts[0].dc, self.parts[0].ac) == (own.parts[0].dc, own.parts[0].ac) and self.parts[0].quant[0] == 8 and not self.restart
+
+    @property
+    def units(self) -> tuple[int, int]:
+        """Coded units across and down."""
+        a, d = max(p.across for p in self.parts), max(p.down for p in self.parts)
+        return -(-self.width // (8 * a)), -(-self.height // (8 * d))
 
 
 @lru_cache(maxsize=64)
 def parse_head(data: bytes) -> Head:
-    """Tables and sizes of a grey baseline frame, up to its coded data."""
+    """Tables and sizes of a baseline frame, up to its coded data."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
-    at, quant, tables, size = 2, {}, {}, None
+    at, quant, size, restart = 2, {}, None, 0
+    tables = {k: _table(*t) for k, t in DEFAULT_TABLES.items()}
     while True:
-        if data[at] != 0xFF:
+        if at + 4 > len(data) or data[at] != 0xFF:
             raise ValueError("marker expected")
+        if data[at + 1] == 0xFF:  # filling
+            at += 1
+            continue
         marker, n = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + n]
         at += 2 + n
@@ -156,22 +209,31 @@ def parse_head(data: bytes) -> Head:
                 body = body[1 + 64 * step :]
         elif marker == 0xC4:
             while body:
-                counts = list(body[1:17])
-                total = sum(counts)
-                tables[body[0]] = tuple((s, c, b) for s, (c, b) in canonical(counts, list(body[17 : 17 + total])).items())
+                total = sum(body[1:17])
+                tables[body[0]] = _table(body[1:17], body[17 : 17 + total])
                 body = body[17 + total :]
-        elif marker == 0xC0:
-            depth, height, width, parts = struct.unpack(">BHHB", body[:6])
-            if depth != 8 or parts != 1:
-                raise ValueError("only grey 8-bit frames")
-            size = width, height, body[8]
-        elif marker in (0xC1, 0xC2, 0xC3):
+        elif marker == 0xDD:
+            restart = int.from_bytes(body[:2], "big")
+        elif marker in (0xC0, 0xC1):
+            depth, height, width, n_parts = struct.unpack(">BHHB", body[:6])
+            if depth != 8 or n_parts not in (1, 3) or not width or not height:
+                raise ValueError("only frames of 8 bits in one or three colours")
+            size = width, height, {body[6 + 3 * k]: (body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n_parts)}
+        elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise ValueError("only baseline frames")
         elif marker == 0xDA:
-            if size is None:
-                raise ValueError("no frame header")
-            dc, ac = body[2] >> 4, body[2] & 15
-            return Head(size[0], size[1], quant[size[2]], tables[dc], tables[0x10 | ac], at)
+            if size is None or body[0] != len(size[2]):
+                raise ValueError("no frame header, or colours in scans of their own")
+            parts = []
+            for k in range(body[0]):
+                across, down, q = size[2][body[1 + 2 * k]]
+                if len(size[2]) == 1:
+                    across = down = 1
+                use = body[2 + 2 * k]
+                if not 1 <= across <= 4 or not 1 <= down <= 4:
+                    raise ValueError("sampling out of range")
+                parts.append(Component(across, down, quant[q], tables[use >> 4], tables[0x10 | use & 15]))
+            return Head(size[0], size[1], tuple(parts), restart, at)
 
 
 @lru_cache(maxsize=1)
@@ -180,81 +242,147 @@ def _cosines() -> np.ndarray:
     return np.where(k == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * x + 1) * k * np.pi / 16)
 
 
-def coefficients(head: Head, coded: bytes) -> np.ndarray:
-    """Quantised coefficients (block, 64), natural order, by the general Huffman way."""
-    bits = np.unpackbits(np.frombuffer(coded.replace(b"\xff\x00", b"\xff"), np.uint8)).tolist()
-    decode = [{(b, c): s for s, c, b in table} for table in (head.dc, head.ac)]
-    at = 0
-
-    def symbol(table: dict) -> int:
-        nonlocal at
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | bits[at]
-            at += 1
-            if (n, code) in table:
-                return table[n, code]
-        raise ValueError("no such code")
-
-    def extra(n: int) -> int:
-        nonlocal at
-        v = 0
-        for _ in range(n):
-            v = v << 1 | bits[at]
-            at += 1
-        return v if n == 0 or v >> (n - 1) else v - (1 << n) + 1
-
-    blocks = -(-head.width // 8) * -(-head.height // 8)
-    out, dc = np.zeros((blocks, 64), np.int64), 0
-    for block in out:
-        dc += extra(symbol(decode[0]))
-        block[0] = dc
-        k = 1
-        while k < 64:
-            s = symbol(decode[1])
-            run, n = s >> 4, s & 15
-            if n == 0:
-                if run < 15:
-                    break
-                k += 16
-                continue
-            k += run
-            block[ZIGZAG[k]] = extra(n)
-            k += 1
+@lru_cache(maxsize=64)
+def _lookup(table: Table) -> list[tuple[int, int]]:
+    """(bits, symbol) by the next 16 bits; 0 bits where they are no code."""
+    out = [(0, 0)] * (1 << 16)
+    for symbol, code, bits in table:
+        first = code << (16 - bits)
+        out[first : first + (1 << (16 - bits))] = [(bits, symbol)] * (1 << (16 - bits))
     return out
 
 
-def pixels(head: Head, quantised: np.ndarray) -> np.ndarray:
-    """The grey picture (height, width) of a frame's coefficients."""
+def _windows(coded: bytes) -> list[int]:
+    """The 16 bits from each bit place on, filled with ones."""
+    b = np.frombuffer(coded.replace(b"\xff\x00", b"\xff") + b"\xff\xff\xff", np.uint8).astype(np.int64)
+    three = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+    return (three[:, None] >> np.arange(8, 0, -1) & 0xFFFF).ravel().tolist()
+
+
+_RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+
+
+def planes_coded(head: Head, coded: bytes) -> list[np.ndarray]:
+    """Quantised coefficients of each colour, (block, 64) in natural order, blocks by rows of the whole units."""
+    across, down = head.units
+    out = [np.zeros((down * p.down, across * p.across, 64), np.int64) for p in head.parts]
+    looks = [(_lookup(p.dc), _lookup(p.ac)) for p in head.parts]
+    zigzag = ZIGZAG.tolist()
+    total = across * down
+    per = head.restart or total
+    pieces = _RESTART.split(coded) if head.restart else [coded]
+    if len(pieces) < -(-total // per):
+        raise ValueError("a frame's data are cut off")
+    for piece, first in zip(pieces, range(0, total, per)):
+        w = _windows(piece)
+        w += [0xFFFF] * 64
+        end, at = len(w) - 64, 0
+        dc = [0] * len(head.parts)
+        for unit in range(first, min(first + per, total)):
+            row, column = divmod(unit, across)
+            for c, part in enumerate(head.parts):
+                by_dc, by_ac = looks[c]
+                for j in range(part.down):
+                    for i in range(part.across):
+                        block = out[c][row * part.down + j, column * part.across + i]
+                        bits, n = by_dc[w[at]]
+                        if not bits:
+                            raise ValueError("no such code")
+                        at += bits
+                        if n:
+                            v = w[at] >> (16 - n)
+                            dc[c] += v if v >> (n - 1) else v - (1 << n) + 1
+                            at += n
+                        block[0] = dc[c]
+                        k = 1
+                        while k < 64:
+                            bits, s = by_ac[w[at]]
+                            if not bits:
+                                raise ValueError("no such code")
+                            at += bits
+                            n = s & 15
+                            k += s >> 4
+                            if n == 0:
+                                if s >> 4 < 15:
+                                    break
+                                k += 1
+                                continue
+                            if k > 63:
+                                raise ValueError("too many coefficients")
+                            v = w[at] >> (16 - n)
+                            block[zigzag[k]] = v if v >> (n - 1) else v - (1 << n) + 1
+                            at += n
+                            k += 1
+                        if at > end:
+                            raise ValueError("a frame's data are cut off")
+    return [x.reshape(-1, 64) for x in out]
+
+
+def coefficients(head: Head, coded: bytes) -> np.ndarray:
+    """Quantised coefficients of the first colour."""
+    return planes_coded(head, coded)[0]
+
+
+def pixels(head: Head, quantised: np.ndarray, part: int = 0) -> np.ndarray:
+    """The samples (height, width) of one colour's coefficients, at that colour's own size."""
+    own = head.parts[part]
+    most_a, most_d = max(p.across for p in head.parts), max(p.down for p in head.parts)
     natural = np.empty(64, np.int64)
-    natural[ZIGZAG] = head.quant
+    natural[ZIGZAG] = own.quant
     c = _cosines()
     blocks = c.T @ (quantised * natural).reshape(-1, 8, 8) @ c
-    across, down = -(-head.width // 8), -(-head.height // 8)
+    across, down = head.units[0] * own.across, head.units[1] * own.down
     picture = blocks.reshape(down, across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * down, 8 * across)
-    return np.clip(np.rint(picture + 128), 0, 255).astype(np.uint8)[: head.height, : head.width]
+    height, width = -(-head.height * own.down // most_d), -(-head.width * own.across // most_a)
+    return np.clip(np.rint(picture + 128), 0, 255).astype(np.uint8)[:height, :width]
+
+
+def frame_planes(data: bytes) -> tuple[Head, list[np.ndarray]]:
+    """A frame's colours (brightness first), each at its own size."""
+    head = parse_head(data)
+    end = data.rfind(b"\xff\xd9")
+    if end < head.size:
+        raise ValueError("no end of image")
+    return head, [pixels(head, q, k) for k, q in enumerate(planes_coded(head, data[head.size : end]))]
+
+
+def rgb(data: bytes) -> np.ndarray:
+    """A frame as (height, width, 3) of red, green and blue."""
+    head, parts = frame_planes(data)
+    y = parts[0].astype(float)
+    if len(parts) == 1:
+        return np.repeat(parts[0][:, :, None], 3, axis=2)
+    rows, columns = np.arange(head.height), np.arange(head.width)
+    most_a, most_d = max(p.across for p in head.parts), max(p.down for p in head.parts)
+    full = [x[(rows * p.down // most_d)[:, None], columns * p.across // most_a].astype(float) for x, p in zip(parts, head.parts)]
+    y, cb, cr = full[0], full[1] - 128, full[2] - 128
+    out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def own_frame(data: bytes) -> bool:
+    return data.startswith(HEAD)
 
 
 def frames_decoded(files: list[bytes]) -> np.ndarray:
-    """One row of samples (the value of each block's first pixel) per frame file."""
+    """One row of samples (the value of each block's first pixel) per frame file of the size of ours."""
     out = np.empty((len(files), SAMPLES), np.uint8)
     flat, rows = [], []
     for k, data in enumerate(files):
-        head = parse_head(data[: len(HEAD)] if data.startswith(HEAD) else data)
+        head = parse_head(HEAD if own_frame(data) else data)
         if data[-2:] != b"\xff\xd9":
             raise ValueError("no end of image")
-        coded = data[head.size : -2]
         if head.flat and (head.width, head.height) == (8 * SIDE, 8 * SIDE):
-            plain = coded.replace(b"\xff\x00", b"\xff")
+            plain = data[head.size : -2].replace(b"\xff\x00", b"\xff")
             if len(plain) != SAMPLES * 10 // 8:
                 raise ValueError("a frame's data are cut off")
             flat.append(plain)
             rows.append(k)
         else:
-            picture = pixels(head, coefficients(head, coded))
-            if picture.shape != (8 * SIDE, 8 * SIDE):
+            head, parts = frame_planes(data)
+            if len(parts) != 1 or parts[0].shape != (8 * SIDE, 8 * SIDE):
                 raise ValueError("another frame size")
-            out[k] = picture[::8, ::8].ravel()
+            out[k] = parts[0][::8, ::8].ravel()
     if flat:
         p = np.frombuffer(b"".join(flat), np.uint8).reshape(len(flat), -1, 5).astype(np.uint16)
         words = np.empty((len(flat), SAMPLES // 4, 4), np.uint16)
@@ -297,35 +425,66 @@ class Movie:
     frames: list[bytes]
 
 
+def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, place of the body, its size) of the chunks from ``at`` on."""
+    while at + 8 <= end:
+        name, n = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if at + 8 + n > end:
+            raise ValueError("a part of the file is cut off")
+        yield name, at + 8, n
+        at += 8 + n + n % 2
+
+
+def _walked(data: bytes, at: int, end: int) -> Iterator[bytes]:
+    """Frames in the order they lie in, also those in lists."""
+    for name, place, n in _chunks(data, at, end):
+        if name == b"LIST":
+            yield from _walked(data, place + 4, place + n)
+        elif name[2:] in (b"dc", b"db"):
+            yield data[place : place + n]
+
+
 def read_avi(data: bytes) -> Movie:
     """The frames of an AVI file by its index."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, end, movi, index, rate = 12, 8 + int.from_bytes(data[4:8], "little"), None, b"", None
+    end, movi, index, rate = 8 + int.from_bytes(data[4:8], "little"), None, None, None
     if end > len(data):
         raise ValueError("the file is cut off")
-    while at + 8 <= end:
-        name, n = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-        if name == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = at + 8
-        elif name == b"LIST" and data[at + 8 : at + 12] == b"hdrl":
-            k = data.find(b"avih", at, at + 8 + n)
-            micros = int.from_bytes(data[k + 8 : k + 12], "little") if k >= 0 else 0
-            rate = 1e6 / micros if micros else None
+    for name, at, n in _chunks(data, 12, end):
+        if name == b"LIST" and data[at : at + 4] == b"movi":
+            movi = at, at + n
+        elif name == b"LIST" and data[at : at + 4] == b"hdrl":
+            for part, place, _ in _chunks(data, at + 4, at + n):
+                if part == b"avih":
+                    micros = int.from_bytes(data[place : place + 4], "little")
+                    rate = 1e6 / micros if micros else rate
+                elif part == b"LIST" and data[place : place + 4] == b"strl" and rate is None and data[place + 12 : place + 16] == b"vids":
+                    scale, per = struct.unpack("<II", data[place + 32 : place + 40])
+                    rate = per / scale if scale and per else None
         elif name == b"idx1":
-            index = data[at + 8 : at + 8 + n]
-        at += 8 + n + n % 2
+            index = data[at : at + n]
     if movi is None or rate is None:
         raise ValueError("no frames or no header")
-    entries = np.frombuffer(index, np.dtype([("name", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
-    out = []
-    for name, _, place, size in entries.tolist():
-        if name[2:] != b"dc":
-            continue
-        start = movi + place
-        if int.from_bytes(data[start + 4 : start + 8], "little") != size:
-            raise ValueError("the index doesn't fit the frames")
-        out.append(data[start + 8 : start + 8 + size])
+    if index is None:
+        found = list(_walked(data, movi[0] + 4, movi[1]))
+    else:
+        found, base = [], None
+        if len(index) % 16:
+            raise ValueError("the index is cut off")
+        for name, _, place, size in struct.iter_unpack("<4sIII", index):
+            if name[2:] not in (b"dc", b"db"):
+                continue
+            if base is None:  # offsets count from the list's name or from the file's beginning
+                base = next((b for b in (movi[0], 0) if data[b + place : b + place + 4] == name), movi[0])
+            start = base + place
+            if data[start : start + 4] != name or int.from_bytes(data[start + 4 : start + 8], "little") != size or start + 8 + size > end:
+                raise ValueError("the index doesn't fit the frames")
+            found.append(data[start + 8 : start + 8 + size])
+    out: list[bytes] = []
+    for f in found:
+        if f or out:
+            out.append(f or out[-1])
     return Movie(rate, out)
 
 
@@ -335,21 +494,27 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + bytes([PAD]) * (-len(raw) % SAMPLES if raw else SAMPLES), len(raw)
 
 
-def histograms(samples: np.ndarray, bins: int = 16) -> np.ndarray:
+def histograms(samples: np.ndarray, bins: int = 16, valid: int | None = None) -> np.ndarray:
+    """How many samples of each frame lie in each range, of the first ``valid`` ones of all frames."""
     n = len(samples)
-    cell = (samples // (256 // bins)).astype(np.int64) + np.arange(n)[:, None] * bins
-    return np.bincount(cell.ravel(), minlength=n * bins).reshape(n, bins)
+    cell = ((samples // (256 // bins)).astype(np.int64) + np.arange(n)[:, None] * bins).ravel()
+    return np.bincount(cell[:valid], minlength=n * bins).reshape(n, bins)
 
 
-def shot_starts(hist: np.ndarray, window: int = 8, factor: float = 3.0, least: float = 0.2) -> np.ndarray:
+def shot_starts(hist: np.ndarray, window: int = 8, factor: float = 3.0, least: float = 0.2, filled: float = 0.5) -> np.ndarray:
     """First frames of the shots.
 
-    A frame starts a shot if its histogram differs from the one before by more
-    than the mean of the differences within ``window`` frames on either side,
-    plus ``factor`` of their standard deviations (itself not counted), and by
-    at least ``least`` of a frame's samples.
+    A frame starts a shot if its share of samples by range differs from the
+    one before by more than the mean of the differences within ``window``
+    frames on either side, plus ``factor`` of their standard deviations
+    (itself not counted), and by at least ``least`` of a frame.  A frame with
+    fewer samples than ``filled`` of the largest says too little: it belongs
+    to the shot before.
     """
-    d = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2.0 * SAMPLES)
+    sums = hist.sum(axis=1)
+    full = sums >= max(filled * sums.max(initial=0), 1)
+    share = hist / np.maximum(sums, 1)[:, None]
+    d = np.where(full[1:], np.abs(np.diff(share, axis=0)).sum(axis=1) / 2.0, 0.0)
     if not len(d):
         return np.zeros(1, np.int64)
     one, two = np.concatenate(([0.0], np.cumsum(d))), np.concatenate(([0.0], np.cumsum(d * d)))
@@ -361,13 +526,20 @@ def shot_starts(hist: np.ndarray, window: int = 8, factor: float = 3.0, least: f
     return np.concatenate(([0], 1 + np.flatnonzero((d >= least) & (d > mean + factor * spread + 1e-12))))
 
 
-def clips(samples: np.ndarray, fps: float = FPS) -> list[tuple[int, int, float, float]]:
-    """(first frame, frames, start second, end second) of each shot."""
-    starts = shot_starts(histograms(samples)).tolist()
-    ends = [*starts[1:], len(samples)]
+def clips_of(hist: np.ndarray, fps: float = FPS) -> list[tuple[int, int, float, float]]:
+    """(first frame, frames, start second, end second) of each shot, from the frames' histograms."""
+    if not len(hist):
+        return []
+    starts = shot_starts(hist).tolist()
+    ends = [*starts[1:], len(hist)]
     return [(a, b - a, a / fps, b / fps) for a, b in zip(starts, ends)]
 
 
+def clips(samples: np.ndarray, fps: float = FPS, valid: int | None = None) -> list[tuple[int, int, float, float]]:
+    """The shots of frames of samples, of which the first ``valid`` count."""
+    return clips_of(histograms(samples, valid=valid), fps)
+
+
 def _groups(sizes: list[int], most: int = 1 << 22) -> Iterator[range]:
     """Consecutive rows of together about ``most`` bytes; a longer row is a group of its own."""
     start, total = 0, 0
@@ -396,40 +568,81 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 STORED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
+
+
+def _of(schema: T.StructType, kind: T.DataType) -> T.StructType:
+    """The schema with an id of that type."""
+    return T.StructType([T.StructField("id", kind), *schema.fields[1:]])
+
+
 _CLIP = T.StructType([T.StructField("first", T.LongType()), T.StructField("frames", T.LongType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())])
 READ = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("id", "n_bytes", "payload_bytes")]
-    + [T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("clips", T.ArrayType(_CLIP))]
+    + [T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("clips", T.ArrayType(_CLIP)), T.StructField("error", T.StringType())]
 )
 
 
 def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, media): each text as an AVI file, and its bytes before padding."""
-    return df.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")).mapInArrow(_store, STORED)
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`").cast("string")).mapInArrow(_store, _of(STORED, df.schema[key].dataType))
+
+
+#: What a damaged file can make the parsers raise.
+DAMAGED = (ValueError, IndexError, KeyError, struct.error, OverflowError)
+
+
+def _result(media: bytes, payload: bytes | None, found: list, error: str | None = None) -> tuple:
+    named = [dict(zip(("first", "frames", "start_s", "end_s"), c)) for c in found]
+    own = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])) if payload is not None else (None,) * 3
+    return (*own, len(media), hashlib.sha256(media).hexdigest(), named, error)
+
+
+def read_one(media: bytes | None, n_bytes: int | None = None) -> tuple:
+    """Payload size and digests, file size and digest, clips, error of one file.
+
+    Frames like ours carry a payload; any other motion-JPEG has clips alone.
+    """
+    if media is None:
+        return (*[None] * 6, "no file")
+    try:
+        movie = read_avi(media)
+        if all(map(own_frame, movie.frames)):
+            samples = frames_decoded(movie.frames)
+            return _result(media, samples.tobytes(), clips(samples, movie.fps, n_bytes))
+        bright = [frame_planes(f)[1][0] for f in movie.frames]
+        hist = np.stack([np.bincount(x.ravel() // 16, minlength=16) for x in bright])
+        alike = all(x.shape == (8 * SIDE, 8 * SIDE) for x in bright) and all(len(parse_head(f).parts) == 1 for f in movie.frames)
+        payload = b"".join(x[::8, ::8].tobytes() for x in bright) if alike else None
+        return _result(media, payload, clips_of(hist, movie.fps))
+    except DAMAGED as e:
+        return (None, None, None, len(media), hashlib.sha256(media).hexdigest(), None, f"{type(e).__name__}: {e}"[:200])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     clip = pa.list_(pa.struct([("first", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), clip]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), clip, pa.string()]
     for batch in batches:
-        media = batch.column(2).to_pylist()
-        for group in _groups([len(x) for x in media]):
-            movies = [read_avi(media[k]) for k in group]
-            samples = frames_decoded([f for m in movies for f in m.frames])
-            rows, at = [], 0
-            for k, m in zip(group, movies):
-                own = samples[at : at + len(m.frames)]
-                at += len(m.frames)
-                payload = own.tobytes()
-                found = [dict(zip(("first", "frames", "start_s", "end_s"), c)) for c in clips(own, m.fps)]
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media[k]), hashlib.sha256(media[k]).hexdigest(), found))
+        media, sizes = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+        for group in _groups([len(x or b"") for x in media]):
+            try:  # all frames of the group at once; where a file is of another kind, each file by itself
+                movies = [read_avi(media[k]) for k in group if media[k] is not None]
+                if len(movies) < len(group) or not all(own_frame(f) for m in movies for f in m.frames):
+                    raise ValueError("files of other kinds")
+                samples = frames_decoded([f for m in movies for f in m.frames])
+                rows, at = [], 0
+                for k, m in zip(group, movies):
+                    own = samples[at : at + len(m.frames)]
+                    at += len(m.frames)
+                    rows.append(_result(media[k], own.tobytes(), clips(own, m.fps, sizes[k])))
+            except DAMAGED:
+                rows = [read_one(media[k], sizes[k]) for k in group]
             kept = [batch.column(k).slice(group.start, len(group)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(kept + [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=READ.names)
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """What stored files hold: payload digests and the clips found in them."""
-    return stored.select("id", "n_bytes", "media").mapInArrow(_read, READ)
+    """What stored files (id, n_bytes, media) hold: payload digests and the clips found in them; n_bytes null: all bytes count."""
+    return stored.select("id", F.col("n_bytes").cast("long"), "media").mapInArrow(_read, _of(READ, stored.schema["id"].dataType))
 
 
 def clip_rows(stored: DataFrame) -> DataFrame:
