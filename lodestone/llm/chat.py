@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, slices
 from .tokens import ByteBpe
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -68,7 +68,7 @@ def _of(schema: T.StructType, kind: T.DataType) -> T.StructType:
 
 def _encode(batches: Iterator[pa.RecordBatch], paths: tuple) -> Iterator[pa.RecordBatch]:
     bpe = ByteBpe(*paths)
-    for batch in batches:
+    for batch in slices(batches):
         ids, at, n, roles = [], [], [], []
         for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             r, t = bpe.encode(escape(role or "")), bpe.encode(escape(text or ""))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["BLANKS", "WORD", "count_blanks", "cut", "packed", "shared_dir", "shuffle_partitions", "table", "unpacked", "utf8"]
+__all__ = ["BLANKS", "WORD", "count_blanks", "cut", "packed", "shared_dir", "shuffle_partitions", "slices", "table", "unpacked", "utf8"]
 
 #: A word is a maximal run without space and ``\t \n \v \f \r``, which is what
 #: ``bytes.split()`` cuts at.
@@ -23,6 +26,13 @@ def count_blanks(text: str) -> int:
     return sum(map(text.count, BLANKS))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts at a time become Python objects and results leave early."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

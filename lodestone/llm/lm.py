@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, utf8
+from .common import cut, slices, utf8
 
 END = b"\n"
 END_HASH = xxhash.xxh64_intdigest(END)
@@ -177,7 +177,7 @@ def _gathered(chunk_bytes: int):
             columns = [pa.array([int(fold)]), pa.array([raw]), pa.array([list(ids)], pa.list_(kind)), pa.array([bytes(parts)]), pa.array([planes(np.array(list(map(len, texts)), "<u8"))]), pa.array([press.compress(b"".join(texts))])]
             return pa.RecordBatch.from_arrays(columns, names=["of_fold", "raw", "ids", "parts", "sizes", "texts"])
 
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.column(0).type
             for i, text, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 fold, raw = part == 1, utf8(text)

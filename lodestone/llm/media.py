@@ -40,6 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 SIDE = 24
 SAMPLES = SIDE * SIDE
 PAD = 255
@@ -553,7 +555,7 @@ def _groups(sizes: list[int], most: int = 1 << 22) -> Iterator[range]:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         payloads = [payload_of(x) for x in batch.column(1).to_pylist()]
         for group in _groups([len(p) for p, _ in payloads]):
             samples = np.frombuffer(b"".join(payloads[k][0] for k in group), np.uint8).reshape(-1, SAMPLES)
@@ -621,7 +623,7 @@ def read_one(media: bytes | None, n_bytes: int | None = None) -> tuple:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     clip = pa.list_(pa.struct([("first", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), clip, pa.string()]
-    for batch in batches:
+    for batch in slices(batches):
         media, sizes = batch.column(2).to_pylist(), batch.column(1).to_pylist()
         for group in _groups([len(x or b"") for x in media]):
             try:  # all frames of the group at once; where a file is of another kind, each file by itself

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shuffle_partitions
+from .common import cut, shuffle_partitions, slices
 from .tokens import ByteBpe
 
 #: A sequence layout: ((length, how many), ...) in order of place, and the number of sequences laid out so.
@@ -168,7 +168,7 @@ def slots(layouts: list[Layout]) -> np.ndarray:
 def _cut_up(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int, paths: tuple) -> Iterator[pa.RecordBatch]:
     bpe = ByteBpe(*paths)
     salt = 0
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = np.append(bpe.encode(text), np.uint32(end_id)).astype("<u4", copy=False)

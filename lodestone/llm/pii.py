@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Beginning and inside of each kind, after none.
@@ -458,7 +458,7 @@ _FOUND = T.StructType([*(T.StructField(n, T.ArrayType(T.LongType())) for n in _A
 
 def _find_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.int64())
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(1).to_pylist()
         per = [nodes(x) for x in texts]
         columns = [pa.array([getattr(n, name) for n, _ in per], kind) for name in _ARRAYS]
@@ -611,7 +611,7 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(text)
             clean = [redacted(x, model, known) for x in batch.column(at).to_pylist()]
             columns = list(batch.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, WORD, count_blanks, cut, packed, unpacked, utf8
+from .common import BLANKS, WORD, count_blanks, cut, packed, slices, unpacked, utf8
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = "#*$%&|<>"
@@ -85,7 +85,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch], text: str, names: list[str], within: str | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         column = batch.column(batch.schema.get_field_index(within or text))
         rows = [measure(x) for x in (column.field(text) if within else column).to_pylist()]
         columns = list(zip(*rows)) if rows else [[]] * len(MEASURES)

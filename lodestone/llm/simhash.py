@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, packed, unpacked, utf8
+from .common import cut, packed, slices, unpacked, utf8
 
 SEED = 42
 WIDTH = 64
@@ -66,7 +66,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         fps = [signed(fingerprint(x, size)) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 

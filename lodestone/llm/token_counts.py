@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
 from .tokens import public
 
 SPACE = "\u2581"
@@ -121,7 +122,7 @@ def counter(path: str | None = None) -> Counter:
 
 def _count(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
     each = counter(path)
-    for batch in batches:
+    for batch in slices(batches):
         found = [each.count(x) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["id", "n_tokens", "score"])
 
