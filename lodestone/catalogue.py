@@ -276,13 +276,41 @@ def bm25_stemmed(spark, sf_dir):
     return scores.select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+def _marked(scored: str, weights: dict[str, int], where: str, by_place: bool) -> str:
+    """Snippets of the scored rows in ``r``: the best window of hits, widened, runs of hits marked.
+
+    ``by_place`` keeps hits within the window's places and takes it for places;
+    otherwise it is counted in hits, and their numbers are taken for places.
+    """
+    words = ", ".join(f"'{w}'" for w in weights)
+    weight = " ".join(f"WHEN '{w}' THEN {n}" for w, n in weights.items())
+    near = "b.pos - a.pos <= 40" if by_place else "b.i <= a.i + 40"
+    place = ("a.pos", "b.pos") if by_place else ("a.i", "b.i")
+    return f"""{scored},
+best AS (SELECT doc_id, round(s, 6) AS score FROM r WHERE {where} ORDER BY s DESC, doc_id LIMIT 100),
+h AS (SELECT doc_id, pos, CASE term {weight} END AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM t JOIN best USING (doc_id) WHERE term IN ({words})),
+su AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM h),
+win AS (SELECT doc_id, {place[0]} AS i, {place[1]} AS j, row_number() OVER (PARTITION BY doc_id ORDER BY b.c - a.c + a.w DESC, a.i, b.i) AS n FROM su a JOIN su b USING (doc_id) WHERE b.i >= a.i AND {near}),
+wide AS (SELECT best.doc_id, score, a, len(a) AS n, coalesce(i, 0) AS i, coalesce(j, 0) AS j, greatest(40 - (coalesce(j, 0) - coalesce(i, 0)), 0) AS missing FROM best JOIN tok USING (doc_id) LEFT JOIN win ON win.doc_id = best.doc_id AND win.n = 1),
+ends AS (SELECT doc_id, score, a, n, greatest(0, i - missing) AS x, greatest(j, least(n - 1, j + missing - (i - greatest(0, i - missing)))) AS y FROM wide),
+places AS (SELECT doc_id, a, y, unnest(range(x, least(y, n - 1) + 1)) AS k FROM ends),
+seen AS (SELECT p.doc_id, a[CAST(k AS INTEGER) + 1] AS token, k, y, h.pos IS NOT NULL AS hit FROM places p LEFT JOIN h ON h.doc_id = p.doc_id AND h.pos = p.k),
+turn AS (SELECT *, coalesce(lag(hit) OVER d, false) AS before, lead(k) OVER d IS NULL AS last FROM seen WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+text AS (SELECT doc_id, string_agg(CASE WHEN hit AND NOT before THEN '<span>' WHEN before AND NOT hit THEN '</span>' ELSE '' END || token || CASE WHEN k <> y THEN ' ' ELSE '' END || CASE WHEN last AND hit THEN '</span>' ELSE '' END, '' ORDER BY k) AS content FROM turn GROUP BY doc_id)
+SELECT doc_id, '' AS title, coalesce(content, '') AS content, '' AS url, score FROM best LEFT JOIN text USING (doc_id)"""
+
+
+_SNIPPETS = _leaf("0", ["of", "the"]) + _leaf("1", ["with"]) + _expr("e", ["n0"], "n0.s") + _expr("g", ["n1"], "1 - n1.s") + _pair("r", "e", "g")
+_INTENDED = _leaf("0", ["the"]) + _leaf("1", ["of", "the"], strict=True) + _expr("e", ["n0", "n1"], "least(n0.s, n1.s)") + _alone("r", "e")
+
+
+@query(_marked(f"WITH {_BASE}{_SNIPPETS}", {"of": 0, "the": 0, "with": -5}, "s >= 0.3", False))
 def snippets(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     return S.search(I.ScanIndex(docs, PLAIN), docs, '"of the" not "with"', 0.3).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_marked(f"WITH {_BASE}{_INTENDED}", {"of": 1, "the": 1}, "s >= 0.3", True))
 def snippets_intended(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     return S.search(I.ScanIndex(docs, PLAIN), docs, 'the and "of the"', 0.3, modes=Modes.intended()).withColumn("score", F.round("score", 6))
@@ -423,12 +451,28 @@ def link_counts(spark, sf_dir):
     return H.page_documents(pages).join(pages.select("page_id", "url"), "url").select("page_id", F.size("links").cast("long").alias("n_links"))
 
 
-@query()
+def _sql_unescaped(c: str) -> str:
+    return f"replace(replace(replace(replace({c}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+def _sql_visible(c: str) -> str:
+    """Text outside of tags, comments and skipped elements, each piece after a space, blanks collapsed."""
+    for tag in sorted(H.SKIPPED - H.VOID, key=lambda t: (t not in ("script", "style"), t)):
+        c = f"regexp_replace({c}, '(?s)<{tag}(?:\\s[^>]*)?>.*?</{tag}>', chr(1), 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->', chr(1), 'g'), '<[^>]*>', chr(1), 'g')"
+    pieces = f"list_transform(list_filter(string_split({c}, chr(1)), lambda x: x <> ''), lambda x: ' ' || x)"
+    return f"regexp_replace(translate({_sql_unescaped(f'array_to_string({pieces}, {chr(39) * 2})')}, chr(10) || chr(13) || chr(9), ''), ' +', ' ', 'g')"
+
+
+@query(f"SELECT url, {_sql_visible('html')} AS content FROM pages")
 def html_text(spark, sf_dir):
     return H.page_documents(_pages(spark, sf_dir)).select("url", "content")
 
 
-@query()
+@query(
+    f"""SELECT url, {_sql_unescaped("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, '' AS description, '' AS keywords, '' AS author, '' AS publication_date, '' AS last_modified_date,
+  '' AS content_type, '' AS tags, regexp_extract(html, '<img[^>]* src="([^"]*)"', 1) AS image_links, {_sql_visible('html')} AS content, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS language, false AS processed FROM pages"""
+)
 def page_document(spark, sf_dir):
     return H.page_documents(_pages(spark, sf_dir)).drop("links")
 
