@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import html as H
+from .functions import stemmer as P
 from .functions import text as X
 from .functions import urls as U
 from .functions.stemmer import stem_word
@@ -263,14 +264,67 @@ def hit_positions(spark, sf_dir):
     return both.select("doc_id", F.array_join(F.col("p").cast("array<string>"), " ").alias("positions"))
 
 
-@query()
+def _stems(words: str) -> str:
+    """CTEs from words(word) to stems(word, stem): the Porter2 definition step by step, for words without apostrophes."""
+
+    def short(c: str) -> str:
+        return f"(regexp_matches({c}, '^[aeiouy][^aeiouy]$') OR regexp_matches({c}, '[^aeiouy][aeiouy][^aeiouywxY]$'))"
+
+    def suffixes(table, region, put) -> str:
+        cases = " ".join(f"WHEN suffix(w, '{x}') THEN CASE WHEN len(w) - {len(x)} >= {region(x)} {put(x, to)} ELSE w END" for x, to in table)
+        return f"CASE {cases} ELSE w END"
+
+    def put(x: str, to: str, also: str = "") -> str:
+        return f"{also} THEN left(w, -{len(x)}) || '{to}'"
+
+    only = {"ogi": "AND suffix(w, 'logi')", "li": f"AND regexp_matches(w, '[{P._LI}]li$')", "ion": "AND regexp_matches(w, '[st]ion$')"}
+    special = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in P._SPECIAL.items()) + "}[word]"
+    kept = ", ".join(repr(w) for w in sorted(P._KEPT_AFTER_1A))
+    first = "regexp_extract({}, '^.*?[aeiouy][^aeiouy]')"
+    ends = "CASE " + " ".join(f"WHEN suffix(w, '{x}') THEN '{x}'" for x in ("eedly", "ingly", "edly", "eed", "ing", "ed")) + " END"
+    step2 = suffixes(P._STEP2, lambda x: "r1", lambda x, to: put(x, to, only.get(x, "")))
+    step3 = suffixes(P._STEP3, lambda x: "r2" if x == "ative" else "r1", put)
+    step4 = suffixes([(x, "") for x in P._STEP4], lambda x: "r2", lambda x, to: put(x, to, only.get(x, "")))
+    return f"""
+p0 AS (SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM {words}),
+p1 AS (SELECT *, CASE WHEN regexp_matches(w, '^(gener|commun|arsen)') THEN len(regexp_extract(w, '^(gener|commun|arsen)'))
+  WHEN {first.format('w')} <> '' THEN len({first.format('w')}) ELSE len(w) END AS r1 FROM p0),
+p2 AS (SELECT *, CASE WHEN {first.format('substr(w, r1 + 1)')} <> '' THEN r1 + len({first.format('substr(w, r1 + 1)')}) ELSE len(w) END AS r2 FROM p1),
+p3 AS (SELECT word, r1, r2, CASE WHEN suffix(w, 'sses') THEN left(w, -2) WHEN suffix(w, 'ied') OR suffix(w, 'ies') THEN CASE WHEN len(w) > 4 THEN left(w, -2) ELSE left(w, -1) END
+  WHEN suffix(w, 's') AND NOT suffix(w, 'us') AND NOT suffix(w, 'ss') AND regexp_matches(left(w, -2), '[aeiouy]') THEN left(w, -1) ELSE w END AS w FROM p2),
+p4 AS (SELECT *, {ends} AS x FROM p3),
+p5 AS (SELECT *, CASE WHEN x NOT IN ('eed', 'eedly') AND regexp_matches(left(w, -len(x)), '[aeiouy]') THEN left(w, -len(x)) END AS p FROM p4),
+p6 AS (SELECT word, w AS w1a, r1, r2, CASE WHEN x IN ('eed', 'eedly') THEN CASE WHEN len(w) - len(x) >= r1 THEN left(w, -len(x)) || 'ee' ELSE w END
+  WHEN p IS NULL THEN w WHEN regexp_matches(p, '(at|bl|iz)$') THEN p || 'e' WHEN regexp_matches(p, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(p, -1)
+  WHEN r1 >= len(p) AND {short('p')} THEN p || 'e' ELSE p END AS w FROM p5),
+p7 AS (SELECT word, w1a, r1, r2, CASE WHEN len(w) > 2 AND regexp_matches(w, '[^aeiouy][yY]$') THEN left(w, -1) || 'i' ELSE w END AS w FROM p6),
+p8 AS (SELECT word, w1a, r1, r2, {step2} AS w FROM p7),
+p9 AS (SELECT word, w1a, r1, r2, {step3} AS w FROM p8),
+p10 AS (SELECT word, w1a, r1, r2, {step4} AS w FROM p9),
+p11 AS (SELECT word, w1a, CASE WHEN suffix(w, 'e') THEN CASE WHEN len(w) - 1 >= r2 OR (len(w) - 1 >= r1 AND NOT {short('left(w, -1)')}) THEN left(w, -1) ELSE w END
+  WHEN suffix(w, 'll') AND len(w) - 1 >= r2 THEN left(w, -1) ELSE w END AS w FROM p10),
+stems AS (SELECT word, CASE WHEN len(word) <= 2 THEN word WHEN {special} IS NOT NULL THEN {special} WHEN w1a IN ({kept}) THEN w1a ELSE replace(w, 'Y', 'y') END AS stem FROM p11)"""
+
+
+_STEMMED = f"""{_TERMS},
+words AS (SELECT term AS word, count(*) AS n FROM t WHERE term <> '' GROUP BY term),{_stems('words')}"""
+
+
+@query(f"WITH {_STEMMED} SELECT word, stem, n FROM stems JOIN words USING (word)")
 def stem_vocabulary(spark, sf_dir):
-    words = _documents(spark, sf_dir).select(F.explode(X.tokenize(F.col("text"))).alias("token"))
-    vocabulary = words.select(X.normalize_token(F.col("token")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = _documents(spark, sf_dir).select(F.explode(X.terms(F.col("text"))).alias("word"))
+    vocabulary = words.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return vocabulary.select("word", stem_word(F.col("word")).alias("stem"), "n")
 
 
-@query()
+_STEM_LEAF = _leaf("0", ["blend", "thing"]).replace(" JOIN t ON", " JOIN ts t ON")
+
+
+@query(
+    f"""WITH {_STEMMED}, ts AS (SELECT doc_id, pos, stem AS term FROM t JOIN stems ON term = word),
+st AS (SELECT doc_id, len(a) AS dl FROM tok), cs AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM st){_STEM_LEAF}{_alone('r', 'n0')}
+SELECT doc_id, round(s, 6) AS score FROM r"""
+)
 def bm25_stemmed(spark, sf_dir):
     scores = R.rank(I.ScanIndex(_documents(spark, sf_dir), I.Analyzer(stem=True)), '"blending things"')
     return scores.select("doc_id", F.round("score", 6).alias("score"))

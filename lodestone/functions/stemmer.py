@@ -56,7 +56,7 @@ def stem(word: str) -> str:
     if word in _SPECIAL:
         return _SPECIAL[word]
     w = word[1:] if word[0] == "'" else word
-    w = re.sub("^y|(?<=[aeiouy])y", "Y", w)
+    w = re.sub("([aeiouy])y", r"\1Y", re.sub("^y", "Y", w))
     r1, r2 = _regions(w)
     for s in ("'s'", "'s", "'"):
         if w.endswith(s):
