@@ -30,9 +30,9 @@ def terms(c: Column) -> Column:
     them alone is an empty term with a place of its own.
     """
     plain = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("'"), F.lit("")), F.lit("-"), F.lit(""))
-    runs = F.lower(F.btrim(F.regexp_replace(plain, "[^A-Za-z0-9_]++", "\n"), F.lit("\n")))
-    found = F.split(F.replace(runs, F.lit("_"), F.lit("")), "\n", -1)
-    return F.when(runs == "", F.array().cast("array<string>")).otherwise(found)
+    # a first element keeps an empty list apart from a list of one empty term
+    runs = F.array_join(F.concat(F.array(F.lit("x")), F.regexp_extract_all(plain, F.lit("[A-Za-z0-9_]++"), F.lit(0))), "\n")
+    return F.slice(F.split(F.replace(F.lower(runs), F.lit("_"), F.lit("")), "\n", -1), 2, 1 << 30)
 
 
 def normalize(c: Column) -> Column:

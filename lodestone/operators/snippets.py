@@ -98,12 +98,17 @@ def search(index, docs: DataFrame, text: str, accuracy: float = 0.5, limit: int
     query = parse(text, modes)
     scores = Scores(index, query, params, modes)
     best = top(scores.frame(accuracy), limit, modes.order)
+    ids = None
+    if limit <= 1000:  # one page of results: found once, then looked up
+        found = best.collect()
+        ids = [r.doc_id for r in found]
+        best = docs.sparkSession.createDataFrame(found, best.schema)
     head = F.col(title) if title else F.lit("")
     slim = docs.select(F.col(doc_id).alias("doc_id"), head.alias("title"), F.concat(F.coalesce(head, F.lit("")), F.coalesce(F.col(content), F.lit(""))).alias("body"), (F.col(url) if url else F.lit("")).alias("url"))
-    rows = slim.join(F.broadcast(best) if limit <= 10_000 else best, "doc_id")
-    ids = [r.doc_id for r in best.select("doc_id").collect()] if limit <= 1000 else None
     hits = index.hits(scores.words)
-    hits = hits.filter(F.col("doc_id").isin(ids)) if ids is not None else hits
+    if ids is not None:
+        slim, hits = slim.filter(F.col("doc_id").isin(ids)), hits.filter(F.col("doc_id").isin(ids))
+    rows = slim.join(F.broadcast(best) if limit <= 10_000 else best, "doc_id")
     weights = stemmed_weights(query.weights, index.analyzer.words, modes.snippet)
     out = with_snippets(rows, hits, scores.words, weights, "body", modes.snippet)
     return out.select("doc_id", "title", "content", "url", "score")

@@ -158,6 +158,7 @@ def test_nested_postings(spark):
     assert flat == [("a", 1, 1), ("b", 1, 0), ("b", 1, 3), ("z", 5, 0), ("z", 5, 0)]
     nested = sorted((r.term, r.doc_id, r.dl, r.positions) for r in nested_postings(rows).collect())
     assert nested == [("a", 1, 4, [1]), ("b", 1, 4, [0, 3]), ("z", 5, 1, [0]), ("z", 5, 1, [0])]
+    assert nested_postings(rows).count() == 4 == nested_postings(rows).select("doc_id").count() and {r.term for r in nested_postings(rows).select("term").collect()} == {"a", "b", "z"}
     assert "Exchange" not in nested_postings(rows)._jdf.queryExecution().executedPlan().toString()
 
 
