@@ -554,7 +554,7 @@ def crawl_bfs(spark, sf_dir):
     start = spark.createDataFrame([(_HUB, '<title>hub</title><a href="/n0">0</a>'), (f"{_HUB}/robots.txt", "User-agent: *\nDisallow: /n7\n")], "url string, html string")
     web = pages.select("url", "html").unionByName(hubs).unionByName(start)
     store = Store(spark, _spread(spark, "crawl"))
-    C.Crawler(spark, store, table_fetcher(web), TLDS, max_pages=2 * pages.count() + 1).run([_HUB])
+    C.Crawler(spark, store, table_fetcher(web), TLDS, max_pages=1_000_000_000).run([_HUB])
     return store.read("pages").select("url", "title")
 
 

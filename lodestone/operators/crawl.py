@@ -47,9 +47,8 @@ class Crawler:
         df = urls if isinstance(urls, DataFrame) else self.spark.createDataFrame([(u,) for u in urls], "url string")
         return df.select(U.normalize_url(F.col("url")).alias("url")).distinct()
 
-    def forbidden(self, batch: DataFrame) -> DataFrame:
-        """Absolute URLs that the robots files of bare domains in ``batch`` forbid."""
-        domains = batch.filter(U.is_domain(F.col("url"), self.tlds, self.tld_mode))
+    def forbidden(self, domains: DataFrame) -> DataFrame:
+        """Absolute URLs that the robots files of bare domains forbid."""
         robots = domains.select(F.col("url").alias("base"), U.robots_url(F.col("url")).alias("url"))
         texts = robots.join(self.fetch(robots.select("url").distinct()), "url")
         paths = texts.select("base", F.explode(robots_disallowed(F.col("html"), self.robots_mode)).alias("path"))
@@ -67,25 +66,25 @@ class Crawler:
         frontier, stored, rounds = cut(start.filter("url is not null"), "frontier"), 0, 0
         failed = frontier.limit(0)
         self.store.overwrite("frontier", frontier)
+        pending = [frontier]
         while not self.ended(stored, rounds):
             visited = self.store.read("visited").select("url")
-            todo = frontier.join(visited, "url", "left_anti").join(failed, "url", "left_anti")
-            if self.robots_mode != "compatible":
-                banned = cut(self.forbidden(todo), "forbidden")
+            rest = level = cut(frontier.join(visited, "url", "left_anti").join(failed, "url", "left_anti"), "level")
+            domains = level.filter(U.is_domain(F.col("url"), self.tlds, self.tld_mode))
+            if self.robots_mode != "compatible" and not domains.isEmpty():
+                banned = cut(self.forbidden(domains), "forbidden")
                 self.store.save_visited(banned)
-                todo = todo.join(banned, "url", "left_anti")
-            rest = level = cut(todo, "level")
+                rest = level = cut(level.join(banned, "url", "left_anti"), "level")
+            left = level.count()
             found, tried, had, spread = [], 0, 0, 1
-            while not self.ended(stored, rounds):
+            while left and not self.ended(stored, rounds):
                 wanted = self.max_pages - stored
-                most = min(wanted * spread, self.frontier_limit)
-                batch = cut(rest.orderBy("url").limit(most), "batch")
-                size = batch.count()
-                if not size:
-                    break
+                size = min(wanted * spread, self.frontier_limit, left)
+                whole = size == left
+                batch = rest if whole else cut(rest.orderBy("url").limit(size), "batch")
                 rounds += 1
                 got = page_documents(self.fetch(batch).filter("html <> ''"))
-                pages = cut(got.orderBy("url").limit(wanted) if most > wanted else got, "pages")
+                pages = cut(got.orderBy("url").limit(wanted) if size > wanted else got, "pages")
                 n = pages.count()
                 if n:
                     found.append(cut(self.next_frontier(pages), "frontier"))
@@ -95,19 +94,18 @@ class Crawler:
                     self.store.insert("pages", stored_pages(pages))
                     self.store.save_visited(pages.select("url"))
                     stored += n
-                tried, had = tried + size, had + n
-                rest = cut(rest.join(batch, "url", "left_anti"), "rest")
-                if size < most:
-                    break
+                tried, had, left = tried + size, had + n, left - size
+                rest = rest.limit(0) if whole else cut(rest.join(batch, "url", "left_anti"), "rest")
+                pending = [*found, rest]
                 # Where most fetches fail, the last few pages would else take a round each.
                 spread = 2 * spread if 2 * n < min(size, wanted) else 1
-            left = reduce(DataFrame.unionByName, found, rest).distinct().join(self.store.read("visited").select("url"), "url", "left_anti")
-            self.store.overwrite("frontier", left)
             if not found:
                 break
             if had < tried:
                 failed = cut(failed.unionByName(level.join(self.store.read("visited").select("url"), "url", "left_anti")), "failed")
             frontier = found[0] if len(found) == 1 else cut(reduce(DataFrame.unionByName, found).distinct(), "frontier")
+        untried = reduce(DataFrame.unionByName, pending).distinct().join(self.store.read("visited").select("url"), "url", "left_anti")
+        self.store.overwrite("frontier", untried)
         return stored
 
     def ended(self, stored: int, rounds: int) -> bool:
