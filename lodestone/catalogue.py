@@ -101,7 +101,7 @@ def doc_lengths(spark, sf_dir):
 
 @query(f"WITH {_TOKENS} SELECT count(*) AS n_docs, CAST(sum(len(a)) AS BIGINT) AS sum_dl, round(sum(len(a)) / count(*), 6) AS avg_dl FROM tok")
 def corpus_stats(spark, sf_dir):
-    return I.corpus_stats(I.doc_stats(_analyzed(spark, sf_dir))).withColumn("avg_dl", F.round("avg_dl", 6))
+    return I.corpus_stats(I.doc_lengths(_documents(spark, sf_dir))).withColumn("avg_dl", F.round("avg_dl", 6))
 
 
 @query(f"WITH {_TERMS} SELECT term, doc_id, count(*) AS tf FROM t WHERE term <> '' GROUP BY term, doc_id")
@@ -664,7 +664,7 @@ def concat_text_fields(spark, sf_dir):
 def titled_document_lengths(spark, sf_dir):
     """Title and content are put together without anything between."""
     docs = _table(spark, sf_dir, "documents")
-    return I.doc_stats(I.analyze(docs, PLAIN, title="lang"))
+    return I.doc_lengths(docs, title="lang")
 
 
 @query("SELECT doc_id, lang AS language, source AS author, CAST(n_chars AS VARCHAR) AS tags, 'i.png' AS image_links, lang || ' & ' || source AS title FROM documents")

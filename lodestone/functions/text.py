@@ -21,6 +21,11 @@ def tokenize(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_TOKEN), F.lit(0))
 
 
+def token_count(c: Column) -> Column:
+    """How many tokens there are, without normalising them."""
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(_TOKEN))
+
+
 def terms(c: Column) -> Column:
     """``normalize_token`` of each of ``tokenize``, made on the text as a whole.
 

@@ -97,6 +97,12 @@ def doc_stats(analyzed: DataFrame) -> DataFrame:
     return analyzed.filter("doc_id is not null").select("doc_id", "dl")
 
 
+def doc_lengths(docs: DataFrame, doc_id: str = "doc_id", title: str | None = None, content: str = "text") -> DataFrame:
+    """``doc_stats`` of documents that needn't be analysed otherwise."""
+    text = X.document_text(F.col(title) if title else F.lit(""), F.col(content))
+    return docs.select(F.col(doc_id).alias("doc_id"), X.token_count(text).alias("dl")).filter("doc_id is not null")
+
+
 def corpus_stats(stats: DataFrame) -> DataFrame:
     """One row: n_docs, sum_dl, avg_dl."""
     n, s = F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))
@@ -295,7 +301,7 @@ class StoredIndex:
         rows = analyze(docs, self.analyzer, doc_id, title, content).filter("doc_id is not null")
         size = docs.select(F.sum(F.octet_length(F.col(content).cast("string")))).first()[0] or 0
         attempt, buckets = self._put(nested_postings(rows), size)
-        self._write(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "dl"), "doc_stats", attempt)
+        self._write(doc_lengths(docs, doc_id, title, content).select(F.col("doc_id").cast("long").alias("doc_id"), "dl"), "doc_stats", attempt)
         others = [b for b in batches if b.name != str(batch)]
         new = Batch(str(batch), attempt, buckets, 0, 0)
         own = self._read("doc_stats", DOC_STAT, [new])

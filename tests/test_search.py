@@ -142,9 +142,11 @@ def test_terms_are_normalised_tokens(spark, texts):
     from lodestone.functions import text as X
 
     df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, t string")
-    for r in df.select("t", X.terms(F.col("t")).alias("terms"), X.tokenize(F.col("t")).alias("tokens")).collect():
+    for r in df.select("t", X.terms(F.col("t")).alias("terms"), X.tokenize(F.col("t")).alias("tokens"), X.token_count(F.col("t")).alias("n")).collect():
         import re
 
+        assert r.n == len(r.tokens)
+
         assert r.tokens == re.findall(X.TOKEN, r.t or "")
         assert r.terms == [X.normalize_py(w) for w in r.tokens]
 
