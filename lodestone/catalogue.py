@@ -418,6 +418,7 @@ TLDS = ["COM", "ORG", "NET", "EDU", "GOV", "INFO", "BIZ", "IO", "DE", "FR", "ES"
 _IN_TLDS = f"IN ({', '.join(repr(t) for t in TLDS)})"
 
 
+#: The SQL below repeats the URL patterns of ``functions.urls``.
 def _sql_tld(c: str) -> str:
     return f"(contains({c}, '.') AND upper(split_part(split_part({c}, '.', -1), '/', 1)) {_IN_TLDS})"
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 _PREFIX = r"^(https?://)([a-zA-Z0-9-]+\.)+[a-zA-Z0-9-]+"
 _ANY = r"(https?://)?([a-zA-Z0-9.-]+)(/[^\s]*)?"
 _DOMAIN = r"^(https?://)?([a-zA-Z0-9-]+\.)+[a-zA-Z]{2,}/?$"
+#: The patterns of a page's scheme, and of its scheme and host.
+_SCHEME = "^(https?:)"
+_ORIGIN = "^([a-zA-Z]+://[^/]+)"
 
 
 @lru_cache(maxsize=4)
@@ -81,8 +84,8 @@ def is_ignored(c: Column) -> Column:
 
 def to_absolute(url: Column, base: Column, tlds: list[str], mode: str = "compatible") -> Column:
     """``url`` as found on page ``base``; null where ``base`` has no scheme or host to take over."""
-    scheme = F.regexp_extract(base, "^(https?:)", 1)
-    origin = F.regexp_extract(base, "^([a-zA-Z]+://[^/]+)", 1)
+    scheme = F.regexp_extract(base, _SCHEME, 1)
+    origin = F.regexp_extract(base, _ORIGIN, 1)
     folder = F.regexp_extract(base, "^(.*/)", 1)
     folder = F.when(folder != "", folder).otherwise(base)
     out = (
