@@ -117,6 +117,13 @@ def test_extract():
     assert not row["processed"] and row["keywords"] == ""
 
 
+def test_named_references_end_with_a_semicolon():
+    row = H.extract("u", '<html lang="a&ampb"><title>A &amp; B &&&amp</title><a href="/x?a=1&copy=2&amp;b=3">&ltx &ampx; &amp;amp; &#65; &eacute; &</a><img src="i?&amp">')
+    assert (row["title"], row["language"], row["image_links"]) == ("A & B &&&amp", "a&ampb", "i?&amp")
+    assert row["links"] == ["/x?a=1&copy=2&b=3"]
+    assert row["content"] == " A & B &&&amp &ltx &ampx; &amp; A é &"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/anvp =\"'&;!-t", max_size=60))
 def test_extract_never_fails(html):
