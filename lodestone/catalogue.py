@@ -490,8 +490,7 @@ def visited_anti_join(spark, sf_dir):
 
 @query("""SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS title FROM pages""")
 def page_title(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    return H.page_documents(pages).join(pages.select("page_id", "url"), "url").select("page_id", "title")
+    return H.page_documents(_pages(spark, sf_dir), keep=("page_id",)).select("page_id", "title")
 
 
 @query("SELECT page_id, regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1) AS language FROM pages")

@@ -135,6 +135,15 @@ def test_extract_nulls(spark):
     assert (row.url, row.content, row.links) == ("", "", [])
 
 
+def test_page_columns_are_kept(spark):
+    pages = spark.createDataFrame([("k1", 1, "u", "<title>a</title>"), ("k2", None, None, None)], "k string, n int, url string, html string")
+    got = H.page_documents(pages, keep=("n", "k"))
+    assert got.columns == ["n", "k", *H.PAGE.names]
+    assert {(r.n, r.k, r.url, r.title) for r in got.collect()} == {(1, "k1", "u", "a"), (None, "k2", "", "")}
+    with pytest.raises(ValueError, match="title"):
+        H.page_documents(pages.withColumn("title", F.lit("t")), keep=("title",))
+
+
 def test_robots(spark):
     text = "User-agent: x\nDisallow: /a\nUser-agent: *\nDisallow: /b\nDisallow:\nDisallow: /c\nUser-agent: y\nDisallow: /d"
     assert value(spark, H.robots_disallowed(F.col("t")), t=text) == ["/b", "/c"]
