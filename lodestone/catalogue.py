@@ -495,8 +495,7 @@ def page_title(spark, sf_dir):
 
 @query("SELECT page_id, regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1) AS language FROM pages")
 def html_lang(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    return H.page_documents(pages).join(pages.select("page_id", "url"), "url").select("page_id", "language")
+    return H.page_documents(_pages(spark, sf_dir), keep=("page_id",)).select("page_id", "language")
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS n_links FROM pages")
