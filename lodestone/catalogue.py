@@ -500,8 +500,7 @@ def html_lang(spark, sf_dir):
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)) AS n_links FROM pages")
 def link_counts(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
-    return H.page_documents(pages).join(pages.select("page_id", "url"), "url").select("page_id", F.size("links").cast("long").alias("n_links"))
+    return H.page_documents(_pages(spark, sf_dir), keep=("page_id",)).select("page_id", F.size("links").cast("long").alias("n_links"))
 
 
 def _sql_unescaped(c: str) -> str:
