@@ -25,7 +25,8 @@ class Crawler:
     ``frontier_limit`` of them and stores the pages; the others wait for the
     next round.  When all of a level were tried, the links of its pages make
     the next one.  URLs are told apart by themselves, not by a hash, and a page
-    is stored once however many links lead to it.
+    is stored once however many links lead to it.  Where a source has several
+    pages of one URL, all are stored, beyond ``max_pages`` if they are the last.
 
     What is found but not yet tried is a table of the store, ``frontier``,
     after each round.  A crawl that was stopped, came to its limit or died goes
@@ -84,8 +85,13 @@ class Crawler:
                 batch = rest if whole else cut(rest.orderBy("url").limit(size), "batch")
                 rounds += 1
                 got = page_documents(self.fetch(batch).filter("html <> ''"))
-                pages = cut(got.orderBy("url").limit(wanted) if size > wanted else got, "pages")
-                n = pages.count()
+                pages, late = cut(got, "pages"), []
+                if pages.count() > wanted:
+                    # up to the URL of the last page wanted, with all that belongs to it; the others are left to do
+                    last = pages.select("url").orderBy("url").limit(wanted).agg(F.max("url")).first()[0]
+                    late = [pages.filter(F.col("url") > last).select("url")]
+                    pages = pages.filter(F.col("url") <= last)
+                n, named = pages.agg(F.count(F.lit(1)), F.countDistinct("url")).first()
                 if n:
                     found.append(cut(self.next_frontier(pages), "frontier"))
                 # first what is left to do, with the batch itself, so that nothing is lost whenever a run dies
@@ -94,11 +100,11 @@ class Crawler:
                     self.store.insert("pages", stored_pages(pages))
                     self.store.save_visited(pages.select("url"))
                     stored += n
-                tried, had, left = tried + size, had + n, left - size
+                tried, had, left = tried + size, had + named, left - size
                 rest = rest.limit(0) if whole else cut(rest.join(batch, "url", "left_anti"), "rest")
-                pending = [*found, rest]
+                pending = [*found, rest, *late]
                 # Where most fetches fail, the last few pages would else take a round each.
-                spread = 2 * spread if 2 * n < min(size, wanted) else 1
+                spread = 2 * spread if 2 * named < min(size, wanted) else 1
             if not found:
                 break
             if had < tried:

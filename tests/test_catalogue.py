@@ -17,7 +17,7 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
-@pytest.mark.parametrize("name", ["page_title", "html_lang", "link_counts", "html_text", "page_document", "store_roundtrip"])
+@pytest.mark.parametrize("name", ["page_title", "html_lang", "link_counts", "html_text", "page_document", "crawl_bfs", "store_roundtrip"])
 def test_pages_of_one_url(spark, tmp_path, name):
     """Pages share a URL, also with equal text, and end in cut references."""
     import duckdb

@@ -113,6 +113,32 @@ def test_frontier_limit_loses_nothing(spark, tmp_path):
     assert crawler.run(["https://a.com"]) == 8 == store.count("pages")
 
 
+def test_all_pages_of_a_url(spark, tmp_path):
+    """Two pages of one URL are stored, indexed and followed as two; a limit keeps them together and loses no other."""
+    known = [("https://a.com/1", 'red<a href="/2">x</a>'), ("https://a.com/1", 'blue<a href="/3">x</a><a href="/gone">x</a>'), ("https://a.com/2", "red"), ("https://a.com/3", "green"), ("https://a.com/3", "green")]
+    engine = Engine(spark, str(tmp_path / "base"), table_fetcher(spark.createDataFrame(known, "url string, html string")), Analyzer(stem=False), tlds=["COM"], buckets=4)
+    assert engine.crawl(["https://a.com/1", "https://a.com/2"], 1) == 2
+    assert {r.url for r in engine.store.read("frontier").collect()} == {f"https://a.com/{k}" for k in ("2", "3", "gone")}
+    assert engine.crawl([], 10, resume=True) == 3
+    pages = engine.store.read("pages").collect()
+    assert sorted(r.url for r in pages) == [u for u, _ in known] and len({r.doc_id for r in pages}) == 5
+    assert engine.index_documents() == 5 == engine.statistics().first().n_docs
+    assert sorted(r["url"] for r in engine.search_json("red", 0.5)) == ["https://a.com/1", "https://a.com/2"]
+
+
+def test_limit_counts_seeds_that_have_no_page(spark, tmp_path):
+    """A URL of two pages doesn't make up for one that failed: it is asked for once."""
+    known, asked = [("https://a.com/1", '<a href="/0">x</a>'), ("https://a.com/1", '<a href="/0">y</a>')], []
+    fetch = table_fetcher(spark.createDataFrame(known, "url string, html string"))
+
+    def counted(urls):
+        asked.extend(r.url for r in urls.collect())
+        return fetch(urls)
+
+    assert Crawler(spark, Store(spark, str(tmp_path / "s")), counted, ["COM"]).run(["https://a.com/0", "https://a.com/1"]) == 2
+    assert sorted(asked) == ["https://a.com/0", "https://a.com/1"]
+
+
 @pytest.mark.parametrize("dies_in", [None, "insert", "save_visited", "overwrite"])
 def test_a_crawl_goes_on_where_it_ended(spark, tmp_path, monkeypatch, dies_in):
     """A chain of pages with side pages: limited, or killed after each kind of write in its second round."""
