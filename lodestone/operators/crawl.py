@@ -97,7 +97,8 @@ class Crawler:
                 # first what is left to do, with the batch itself, so that nothing is lost whenever a run dies
                 self.store.overwrite("frontier", reduce(DataFrame.unionByName, found, rest).distinct())
                 if n:
-                    self.store.insert("pages", stored_pages(pages))
+                    repeated = pages.groupBy("url").count().filter("count > 1").select("url")
+                    self.store.insert("pages", stored_pages(pages, cut(repeated, "repeated")))
                     self.store.save_visited(pages.select("url"))
                     stored += n
                 tried, had, left = tried + size, had + named, left - size
